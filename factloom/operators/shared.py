@@ -1,0 +1,144 @@
+"""Passages that stand verbatim in other documents, and how much of each text they cover.
+
+Every window of ``least`` characters has an owner: the leftmost of its inner grams (half a window
+long) with the smallest hash.  Equal windows own equal grams, so a window can stand in another
+document only if its owner does.  Owners, about one in forty positions, are compared first; only
+windows whose owner stands in two documents are then compared, as text: the windows of one owner
+follow each other, so they travel as one run, and equal runs are compared once.
+Nothing is sampled away: every window has exactly one owner and is compared if that one is shared.
+
+Nulls, empty texts and texts shorter than ``least`` share nothing.  Lengths are code points.  A
+repeat inside one document alone isn't shared.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from factloom.operators.intervals import merge
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_hashes(text: str, size: int) -> np.ndarray:
+    """Hashes of all grams of a text, from sums of mixed characters times powers of an odd base."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes) - 1, np.uint64(_BASE))]), dtype=np.uint64)
+    undo = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes) - size, np.uint64(pow(_BASE, -1, 2**64)))]), dtype=np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(codes + np.uint64(1)) * powers, dtype=np.uint64)])
+    return _mix((sums[size:] - sums[:-size]) * undo)
+
+
+def owners(grams: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` grams, the position of the leftmost smallest one."""
+    value, at, done = grams, np.arange(len(grams)), 1
+    while done < width:
+        step = min(done, width - done)
+        left, right = value[:-step], value[step:]
+        first = left <= right
+        value, at, done = np.where(first, left, right), np.where(first, at[:-step], at[step:]), done + step
+    return at
+
+
+def _shared_in(runs: dict[str, list], least: int) -> Iterator[tuple[int, int, int]]:
+    """(doc, first, last character) of the stretches of runs with one owner; runs: text -> [(doc, start)]."""
+    held = {text: places[0][0] if all(d == places[0][0] for d, _ in places) else None for text, places in runs.items()}
+    seen: dict[str, int | None] = {}
+    if len(runs) > 1 and any(d is not None for d in held.values()):
+        for text, doc in held.items():
+            for i in range(len(text) - least + 1):
+                if seen.setdefault(w := text[i : i + least], doc) != doc:
+                    seen[w] = None
+    for text, places in runs.items():
+        if held[text] is None:
+            spans = [(0, len(text) - 1)]
+        else:
+            spans = []
+            for i in range(len(text) - least + 1):
+                if seen.get(text[i : i + least], -1) is None:
+                    if spans and i == spans[-1][1] - least + 2:
+                        spans[-1] = (spans[-1][0], i + least - 1)
+                    else:
+                        spans.append((i, i + least - 1))
+        for doc, start in places:
+            for s, e in spans:
+                yield doc, start + s, start + e
+
+
+def shared_spans(documents: DataFrame, least: int) -> DataFrame:
+    """(doc_id, span_start, span_end) of the maximal stretches made of shared windows."""
+    texts = documents.filter(F.length("text") >= least).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    size = (least + 1) // 2
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                grams = gram_hashes(text, size)
+                # windows with one owner follow each other, as a later window never owns an earlier gram
+                at, first, n = np.unique(owners(grams, least - size + 1), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams[at].view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["gram", "doc_id", "first", "n"],
+                )
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x["gram"] for x in at], pa.int64()),
+                        pa.array([doc] * len(at), pa.int64()),
+                        pa.array([x["first"] for x in at], pa.int64()),
+                        pa.array([text[x["first"] : x["first"] + x["n"] - 1 + least] for x in at], pa.string()),
+                    ],
+                    names=["gram", "doc_id", "first", "run"],
+                )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by gram; of a gram only different runs and the places are held."""
+        out: list[tuple[int, int, int]] = []
+        held: dict[str, list] = {}
+        last = None
+
+        def rows() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["doc_id", "s", "e"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for gram, doc, first, run in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if gram != last and held:
+                    out.extend(_shared_in(held, least))
+                    held = {}
+                last = gram
+                held.setdefault(run, []).append((doc, first))
+            yield rows()
+        if held:
+            out.extend(_shared_in(held, least))
+            yield rows()
+
+    same = Window.partitionBy("gram")
+    grams = texts.mapInArrow(owned, "gram bigint, doc_id bigint, first int, n int")
+    grams = grams.withColumn("low", F.min("doc_id").over(same)).withColumn("high", F.max("doc_id").over(same)).filter("low <> high")
+    wanted = grams.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "n")).alias("at"))
+    found = texts.join(wanted, "doc_id").select("doc_id", "text", "at").mapInArrow(runs, "gram bigint, doc_id bigint, first bigint, run string")
+    shared = found.repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, "doc_id bigint, s bigint, e bigint")
+    return merge(shared, ["doc_id"]).select("doc_id", F.col("s").alias("span_start"), (F.col("e") + 1).alias("span_end"))
+
+
+def coverage(documents: DataFrame, least: int) -> DataFrame:
+    """(doc_id, n_chars, shared_chars) of every document; stretches of one text never overlap."""
+    spans = shared_spans(documents, least).groupBy("doc_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared"))
+    whole = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
+    return whole.join(spans, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared_chars"))

@@ -1,0 +1,41 @@
+import random
+from collections import defaultdict
+
+from factloom.operators.shared import coverage, shared_spans
+
+
+def naive(rows, least):
+    where = defaultdict(set)
+    for d, t in rows:
+        for i in range(len(t or "") - least + 1):
+            where[t[i : i + least]].add(d)
+    out = []
+    for d, t in rows:
+        spans = []
+        for i in range(len(t or "") - least + 1):
+            if len(where[t[i : i + least]]) > 1:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + least
+                else:
+                    spans.append([i, i + least])
+        out += [(d, s, e) for s, e in spans]
+    return sorted(out)
+
+
+def test_equals_the_naive_comparison(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab\U0001f600é ") for _ in range(n))
+    parts = [word(n) for n in (19, 20, 21, 35, 60)]
+    rows = [(i, "".join(rng.choice([*parts, word(rng.randrange(30))]) for _ in range(rng.randrange(6)))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "x" * 300), (63, "zq" * 100), (64, "zq" * 30), (65, parts[4]), (66, parts[4])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = naive(rows, 20)
+    assert sorted(map(tuple, shared_spans(df, 20).collect())) == expected
+    assert {r.doc_id: r.shared_chars for r in coverage(df, 20).collect()} == {d: sum(e - s for x, s, e in expected if x == d) for d, _ in rows}
+
+
+def test_given_documents_equal_the_naive_comparison(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    expected = naive(rows, 160)
+    assert expected and sorted(map(tuple, shared_spans(df, 160).collect())) == expected
