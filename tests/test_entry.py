@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as e
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ["claims", "filing_pages", "documents", "job_limits", "metrics"]
+TABLES = ["claims", "filing_pages", "documents", "job_limits", "metrics", "lineitem", "orders", "customer", "nation"]
 
 
 def test_entry_yields_rows(spark):
