@@ -270,29 +270,50 @@ def _starting_unit(text: str, prior: str | None) -> tuple | None:
     return None
 
 
+_LETTERS = re.compile(r"[A-Za-z]+$")
+#: a bracket that holds the figure of another period or a plan
+_OTHER_FIGURE = re.compile(r"\((?:previous|prior|plan|budget|target)\b[^)]*$", re.I)
+
+
+def _is_figure(quote: str, at: int, end: int) -> bool:
+    """Whether quote[at:end] is a figure of its own: no part of a longer one or of a label such as Q2."""
+    left, right = quote[at - 1] if at else " ", quote[end] if end < len(quote) else " "
+    if left.isdigit() or (left in ".,'O" and at > 1 and quote[at - 2].isdigit()):
+        return False
+    if right.isdigit() or (right in ".,'O" and quote[end + 1 : end + 2].isdigit()):
+        return False
+    head = quote[max(0, at - 40) : at]
+    letters = _LETTERS.search(head)
+    # letters against a figure are a unit (INR2), else they and the figure are one label
+    if (letters is not None and segment(letters.group()) is None) or re.search(r"[A-Za-z]-$", head):
+        return False
+    return _OTHER_FIGURE.search(quote[:at]) is None
+
+
 def _from_quote(quote: str, predicate: str | None, token: str, prior: str | None) -> tuple | None:
-    """The unit in the words next to this figure in the quote; other figures' units don't count."""
+    """The unit in the words next to this figure in the quote; other figures' units don't count.
+
+    Places after the predicate are tried first, in their order, until one has a unit.  Places before
+    it are tried only if the figure doesn't stand after it.
+    """
     floor = 0
     if predicate:
         at = quote.find(predicate)
         floor = at + len(predicate) if at >= 0 else 0
     for start in (floor, 0):
-        at = quote.find(token, start)
+        at, met = quote.find(token, start), False
         while at >= 0:
             end = at + len(token)
-            left, right = quote[at - 1] if at else " ", quote[end] if end < len(quote) else " "
-            if not (left.isdigit() or (left in ".,'O" and at > 1 and quote[at - 2].isdigit())) and not (
-                right.isdigit() or (right in ".,'O" and quote[end + 1 : end + 2].isdigit())
-            ):
-                head = quote[max(0, at - 40) : at]
-                if not re.search(r"(?:FY|Q|[A-Za-z]-)$", head):
-                    head = re.sub(r"[(\-−–\s]+$", "", head)
-                    tail = re.sub(r"^\)", "", quote[end : end + 40])
-                    tail = re.split(r"\(previous|\bin (?:Q\d|FY)|\bfor the\b|[|;]", tail)[0]
-                    head = re.split(r"[|;:]", head)[-1]
-                    return _merge(_ending_unit(head, prior), _starting_unit(_MARKS.sub(" ", tail), prior))
+            if _is_figure(quote, at, end):
+                met = True
+                head = re.sub(r"[(\-−–\s]+$", "", quote[max(0, at - 40) : at])
+                tail = re.sub(r"^\)", "", quote[end : end + 40])
+                tail = re.split(r"\(previous|\bin (?:Q\d|FY)|\bfor the\b|[|;]", tail)[0]
+                head = re.split(r"[|;:]", head)[-1]
+                if (unit := _merge(_ending_unit(head, prior), _starting_unit(_MARKS.sub(" ", tail), prior))) is not None:
+                    return unit
             at = quote.find(token, at + 1)
-        if floor == 0:
+        if floor == 0 or met:
             break
     return None
 
