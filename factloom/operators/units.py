@@ -14,8 +14,9 @@ determinable unit and gets a null base unit; no row is dropped by the operator i
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,31 +90,43 @@ _GLUED = Trie((f, s) for f, s in GLUED)
 _FILLERS = Trie((f, None) for f in FILLERS)
 
 
+def _cached(maxsize: int):
+    """An LRU cache that long texts pass by, so that what it holds stays small."""
+
+    def wrap(f):
+        kept = lru_cache(maxsize=maxsize)(f)
+        return wraps(f)(lambda text, *rest: (kept if len(text) <= 200 else f)(text, *rest))
+
+    return wrap
+
+
 def _is_edge(text: str, i: int) -> bool:
     """Whether a word may begin or end between text[i-1] and text[i]."""
     return i <= 0 or i >= len(text) or not (text[i - 1].isalpha() and text[i].isalpha())
 
 
-@lru_cache(maxsize=200_000)
+@_cached(maxsize=200_000)
 def segment(text: str, prior: str | None = None) -> tuple[str | None, int | None, int, int] | None:
     """Cheapest decomposition of a whole unit string: (base, scale, numerator, denominator) or None.
 
     Scale None means that none is written.  Costs: one per lexeme, so that longer lexemes win;
-    a root outside the field's stored dimension costs 0.4 more.  A state of the dynamic
+    a root outside the field's stored dimension costs 0.4 more.  A text may have any length.  A state of the dynamic
     programme is what has been read up to a position: base, factor, scale, inside a gloss.
     """
-    lower = text.lower()
-    if len(lower) != len(text) or len(text) > 80:
-        return None
-    n = len(text)
-    layers: list[dict] = [{} for _ in range(n + 1)]
+    lower = "".join(low if len(low := ch.lower()) == 1 else ch for ch in text)
+    n, reach = len(text), 0
+    layers: dict[int, dict] = defaultdict(dict)
     layers[0][(None, None, 1, 1, False, False)] = 0.0
 
     def push(i, state, cost):
+        nonlocal reach
+        reach = max(reach, i)
         if cost < layers[i].get(state, 1e9):
             layers[i][state] = cost
 
     for i in range(n):
+        if i > reach:
+            return None
         if not layers[i]:
             continue
         ch = text[i]
@@ -184,7 +197,7 @@ def read_figure(token: str) -> tuple[int, int] | None:
     return (int(digits), len(part)) if digits.isdigit() else None
 
 
-@lru_cache(maxsize=100_000)
+@_cached(maxsize=100_000)
 def _split_value(raw: str) -> tuple | None:
     """(core as printed, digits, decimals, negative, text before, text after) of a value string."""
     best = None
@@ -222,7 +235,6 @@ def _split_value(raw: str) -> tuple | None:
 _MARKS = re.compile(r"approx\.?|\bca?\.|[~*†‡§≈+]|\[[A-Za-z0-9]\]", re.I)
 
 
-@lru_cache(maxsize=200_000)
 def _around(before: str, after: str, prior: str | None) -> tuple | None:
     """The unit written with a figure, before it, after it or on both sides."""
     left, right = _MARKS.sub(" ", before).strip(), _MARKS.sub(" ", after).strip()
@@ -245,7 +257,7 @@ def _merge(a: tuple | None, b: tuple | None) -> tuple | None:
 _WORD_STARTS = re.compile(r"(?<![A-Za-z0-9])(?=\S)")
 
 
-@lru_cache(maxsize=100_000)
+@_cached(maxsize=100_000)
 def _ending_unit(text: str, prior: str | None) -> tuple | None:
     """The longest unit phrase that ends a text."""
     for m in _WORD_STARTS.finditer(text):
@@ -254,7 +266,7 @@ def _ending_unit(text: str, prior: str | None) -> tuple | None:
     return None
 
 
-@lru_cache(maxsize=100_000)
+@_cached(maxsize=100_000)
 def _starting_unit(text: str, prior: str | None) -> tuple | None:
     """The longest unit phrase that starts a text."""
     ends = [m.end() for m in re.finditer(r"[^\s]+", text)]

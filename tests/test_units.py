@@ -1,6 +1,6 @@
 """Printed figures and units of problem 1."""
 
-from factloom.operators.units import resolve
+from factloom.operators.units import resolve, segment
 
 
 def from_quote(value, quote, predicate="Net sales"):
@@ -17,3 +17,10 @@ def test_a_place_without_unit_gives_way_to_the_next():
     assert from_quote("3", "Net sales, note 3, came to 3 million euros") == ("EUR", 3 * 10**9)
     assert from_quote("3", "Net sales | 3 (previous year 3 million euros)") is None
     assert from_quote("3", "Net sales | 3") is None
+
+
+def test_a_unit_string_may_be_long_or_change_length_in_lower_case():
+    padded = "(" + " " * 100 + "₹ million)"
+    assert resolve("12", padded, None, None, None, None, None, None) == ("INR", 12 * 10**9)
+    assert segment("million İ") is None and segment("x" * 100_000) is None
+    assert segment(" " * 5000 + "Rs crore") == ("INR", 10**7, 1, 1)
