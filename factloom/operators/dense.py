@@ -118,6 +118,10 @@ def heavy_blocks(df: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
 
 
 def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per key over all keys; each split pre-aggregates before a salted two-level reduction."""
+    """Rows per key over all keys; each split pre-aggregates before a salted two-level reduction.
+
+    This is Spark's own hash aggregation in place of codes and array blocks: a dictionary of all keys
+    has no bound, while the aggregation spills, and after the first level a key has at most 16 rows.
+    """
     salt = F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt")
     return df.groupBy(*keys, salt).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"))
