@@ -294,7 +294,7 @@ def _is_figure(quote: str, at: int, end: int) -> bool:
         return False
     if right.isdigit() or (right in ".,'O" and quote[end + 1 : end + 2].isdigit()):
         return False
-    head = quote[max(0, at - 40) : at]
+    head = quote[:at]
     letters = _LETTERS.search(head)
     # letters against a figure are a unit (INR2), else they and the figure are one label
     if (letters is not None and segment(letters.group()) is None) or re.search(r"[A-Za-z]-$", head):
@@ -302,9 +302,40 @@ def _is_figure(quote: str, at: int, end: int) -> bool:
     return _OTHER_FIGURE.search(quote[:at]) is None
 
 
+_BRACKET = re.compile(r"[(\[]([^()\[\]]*)[)\]]\s*$")
+_PERIOD = re.compile(r"\b(?:[QH][1-4]\b|FY\s?\d[\d\-/]*|(?:19|20)\d\d\b)", re.I)
+
+
+def _holds_figure(cell: str) -> bool:
+    """Whether a cell has a figure besides periods, powers of ten and the number of a line."""
+    cell = _PERIOD.sub(" ", re.sub(r"^\s*\d+[.)]", " ", cell))
+    return re.search(r"\d", re.sub(r"'?000s?\b|10\^\d", " ", cell)) is not None
+
+
+def _cell_unit(cell: str, predicate: str | None, prior: str | None) -> tuple | None:
+    """The unit of a heading or label cell; a predicate is none, whatever it is called."""
+    if (m := _BRACKET.search(cell)) is not None and (unit := segment(m.group(1).strip(), prior)) is not None:
+        return unit
+    cell = cell.strip()
+    return None if predicate and cell == predicate.strip() else segment(cell, prior)
+
+
+def _fitting(unit: tuple | None, cell: tuple | None) -> tuple | None:
+    """A cell fills what is open but doesn't rescale a currency by the scale of another unit."""
+    if unit is not None and cell is not None and unit[0] and cell[0] and unit[0] != cell[0]:
+        return unit
+    return _merge(unit, cell)
+
+
 def _from_quote(quote: str, predicate: str | None, token: str, prior: str | None) -> tuple | None:
     """The unit in the words next to this figure in the quote; other figures' units don't count.
 
+    The words next to a figure are those that join it without another word or figure between, before
+    it or after it, as far as its clause or cell goes (| ; : end it), however long they are.  What
+    they leave open comes from the cells before, the nearest first, back to the one that holds a
+    further figure: a cell that is a unit as a whole, such as a heading, or that ends in one in
+    brackets, such as a label.
+
     Places after the predicate are tried first, in their order, until one has a unit.  Places before
     it are tried only if the figure doesn't stand after it.
     """
@@ -318,11 +349,16 @@ def _from_quote(quote: str, predicate: str | None, token: str, prior: str | None
             end = at + len(token)
             if _is_figure(quote, at, end):
                 met = True
-                head = re.sub(r"[(\-−–\s]+$", "", quote[max(0, at - 40) : at])
-                tail = re.sub(r"^\)", "", quote[end : end + 40])
+                head = re.sub(r"[(\-−–\s]+$", "", quote[:at])
+                tail = re.sub(r"^\)", "", quote[end:])
                 tail = re.split(r"\(previous|\bin (?:Q\d|FY)|\bfor the\b|[|;]", tail)[0]
-                head = re.split(r"[|;:]", head)[-1]
-                if (unit := _merge(_ending_unit(head, prior), _starting_unit(_MARKS.sub(" ", tail), prior))) is not None:
+                *cells, head = re.split(r"[|;:]", head)
+                unit = _merge(_ending_unit(head, prior), _starting_unit(_MARKS.sub(" ", tail), prior))
+                for cell in reversed(cells):
+                    if (unit is not None and _complete(unit)) or _holds_figure(cell):
+                        break
+                    unit = _fitting(unit, _cell_unit(cell, predicate, prior))
+                if unit is not None:
                     return unit
             at = quote.find(token, at + 1)
         if floor == 0 or met:

@@ -24,3 +24,12 @@ def test_a_unit_string_may_be_long_or_change_length_in_lower_case():
     assert resolve("12", padded, None, None, None, None, None, None) == ("INR", 12 * 10**9)
     assert segment("million İ") is None and segment("x" * 100_000) is None
     assert segment(" " * 5000 + "Rs crore") == ("INR", 10**7, 1, 1)
+
+
+def test_units_of_headings_labels_and_long_phrases_are_seen():
+    assert from_quote("289", "₹ in crore | Net sales | FY2020 | 289") == ("INR", 289 * 10**10)
+    assert from_quote("289", "Net sales (USD million) | FY2020 | 289") == ("USD", 289 * 10**9)
+    assert from_quote("289", "Net sales (USD million): 289 €") == ("EUR", 289 * 10**3)
+    assert from_quote("28", "Days | FY2018 | 28", "Days") is None
+    assert from_quote("289", "EBIT 3 (USD) | Net sales | 289") is None
+    assert from_quote("289", "Net sales 289 (" + " " * 50 + "USD million)") == ("USD", 289 * 10**9)
