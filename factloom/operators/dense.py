@@ -10,7 +10,10 @@ histogram (first pass), and only cells that can hold a key of interest are encod
 number of cells at or above ``1/share`` of the rows is at most ``share``, so the second
 dictionary is bounded by proof, however many distinct keys there are.
 
-Nulls: a null key part is a value of its own.  An empty table has no blocks.
+Nulls: a null key part is a value of its own, as is an empty text; texts may be of any length.
+Repeated rows count each time.  Blocks with equal counts are all kept or all left out.  An empty
+table has no blocks.  Keys may have any name but that of the count, which can be chosen: a clash
+raises ``ValueError``.  Keys are strings.
 """
 
 from __future__ import annotations
@@ -69,16 +72,26 @@ def dense_histogram(df: DataFrame, cell: Column, size: int) -> DataFrame:
     )
 
 
-def heavy_blocks(df: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
+def _renamed(df: DataFrame, keys: list[str], count: str) -> tuple[DataFrame, list[str], list[Column]]:
+    """The keys under names of our own, and the columns that give them and the count their names back."""
+    if count in keys or len(set(keys)) < len(keys):
+        raise ValueError(f"keys must differ from each other and from {count!r}")
+    own = [f"k{i}" for i in range(len(keys))]
+    back = [F.col(o).alias(k) for o, k in zip(own, keys, strict=True)]
+    return df.select(*[df[f"`{k}`"].alias(o) for o, k in zip(own, keys, strict=True)]), own, [*back, F.col("n").alias(count)]
+
+
+def heavy_blocks(df: DataFrame, keys: list[str], share: int = 200, count: str = "n") -> DataFrame:
     """The key combinations holding at least one in ``share`` of all rows, with their row counts.
 
     Both passes read the table once and shuffle arrays only.  What reaches the driver is at most
     ``share`` cells and, for them, the exact keys of those cells that a split saw often enough.
     """
+    df, keys, back = _renamed(df, keys, count)
     cells = dense_histogram(df, _cell(keys), SLOTS)
     total_rows = cells.agg(F.sum("n")).first()[0]
     if not total_rows:
-        return df.select(*keys).limit(0).withColumn("n", F.lit(0).cast("bigint"))
+        return df.limit(0).withColumn("n", F.lit(0).cast("bigint")).select(*back)
     least = -(-total_rows // share)
     hot = [r.cell for r in cells.filter(F.col("n") >= least).collect()]  # at most `share` rows
     schema = ", ".join(f"`{k}` string" for k in keys) + ", n bigint"
@@ -114,14 +127,15 @@ def heavy_blocks(df: DataFrame, keys: list[str], share: int = 200) -> DataFrame:
     candidates = df.filter(_cell(keys).isin(hot)).select(*keys).mapInArrow(encode, schema)
     salt = F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt")
     summed = candidates.groupBy(*keys, salt).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"))
-    return summed.filter(F.col("n") >= least)
+    return summed.filter(F.col("n") >= least).select(*back)
 
 
-def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+def key_counts(df: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
     """Rows per key over all keys; each split pre-aggregates before a salted two-level reduction.
 
     This is Spark's own hash aggregation in place of codes and array blocks: a dictionary of all keys
     has no bound, while the aggregation spills, and after the first level a key has at most 16 rows.
     """
+    df, keys, back = _renamed(df, keys, count)
     salt = F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt")
-    return df.groupBy(*keys, salt).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return df.groupBy(*keys, salt).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n")).select(*back)

@@ -8,7 +8,10 @@ whatever convention it was printed in.  What is printed with the figure counts f
 unit columns, then ``qualifiers``; a later place only supplies what earlier ones leave open.
 
 Nulls in any column, empty strings and nil markers: the row has no printed figure or no
-determinable unit and gets a null base unit; no row is dropped by the operator itself.
+determinable unit and gets a null base unit; no row is dropped by the operator itself.  Texts may be
+of any length.  Repeated rows come out as often as they stand in the table; an empty table gives no
+rows.  Decompositions of equal cost are ordered by their text, so the result is always the same.
+Columns of the table besides the ones read don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,10 +77,10 @@ class Trie:
                 node = node.setdefault(ch, {})
             node.setdefault("", []).append((form, payload))
 
-    def walk(self, text: str, lower: str, start: int):
+    def walk(self, text: str, start: int):
         node = self.root
         for i in range(start, len(text)):
-            node = node.get(lower[i])
+            node = node.get(text[i].lower())
             if node is None:
                 return
             for form, payload in node.get("", ()):
@@ -113,7 +116,6 @@ def segment(text: str, prior: str | None = None) -> tuple[str | None, int | None
     a root outside the field's stored dimension costs 0.4 more.  A text may have any length.  A state of the dynamic
     programme is what has been read up to a position: base, factor, scale, inside a gloss.
     """
-    lower = "".join(low if len(low := ch.lower()) == 1 else ch for ch in text)
     n, reach = len(text), 0
     layers: dict[int, dict] = defaultdict(dict)
     layers[0][(None, None, 1, 1, False, False)] = 0.0
@@ -137,10 +139,10 @@ def segment(text: str, prior: str | None = None) -> tuple[str | None, int | None
             if not glued and ch in "([":
                 push(i + 1, (base, scale, num, den, base is not None, False), cost + 0.1)
             if edge and not glued:
-                for j, _, _ in _FILLERS.walk(text, lower, i):
+                for j, _, _ in _FILLERS.walk(text, i):
                     if _is_edge(text, j) or text[j - 1] == "'":
                         push(j, (base, scale, num, den, gloss, False), cost + 0.5)
-                for j, form, size in _SCALES.walk(text, lower, i):
+                for j, form, size in _SCALES.walk(text, i):
                     if not _is_edge(text, j) or (form[0] == "0" and i and text[i - 1].isdigit()) or (j < n and form[-1] == "0" and text[j].isdigit()):
                         continue
                     if gloss:
@@ -148,11 +150,11 @@ def segment(text: str, prior: str | None = None) -> tuple[str | None, int | None
                             push(j, (base, scale, num, den, True, False), cost + 0.5)
                     else:
                         push(j, (base, (scale or 1) * size, num, den, False, False), cost + 1)
-                for j, form, size in _GLUED.walk(text, lower, i):
+                for j, form, size in _GLUED.walk(text, i):
                     if text[i:j] == form and not gloss and scale is None and j < n and not text[j].isspace():
                         push(j, (base, size, num, den, False, True), cost + 0.6)
             if edge or glued:
-                for j, form, (root, rn, rd) in _ROOTS.walk(text, lower, i):
+                for j, form, (root, rn, rd) in _ROOTS.walk(text, i):
                     if not _is_edge(text, j) or (form in EXACT_CASE and text[i:j] != form):
                         continue
                     extra = 1 + (0.4 if prior and root != prior else 0.0)
@@ -294,7 +296,7 @@ def _is_figure(quote: str, at: int, end: int) -> bool:
         return False
     if right.isdigit() or (right in ".,'O" and quote[end + 1 : end + 2].isdigit()):
         return False
-    head = quote[:at]
+    head = quote[max(0, at - 40) : at]  # longer than any unit that is one word
     letters = _LETTERS.search(head)
     # letters against a figure are a unit (INR2), else they and the figure are one label
     if (letters is not None and segment(letters.group()) is None) or re.search(r"[A-Za-z]-$", head):
@@ -349,7 +351,7 @@ def _from_quote(quote: str, predicate: str | None, token: str, prior: str | None
             end = at + len(token)
             if _is_figure(quote, at, end):
                 met = True
-                head = re.sub(r"[(\-−–\s]+$", "", quote[:at])
+                head = quote[:at].rstrip("(-−– \t\r\n\x0b\x0c\x85" + _SPACES)
                 tail = re.sub(r"^\)", "", quote[end:])
                 tail = re.split(r"\(previous|\bin (?:Q\d|FY)|\bfor the\b|[|;]", tail)[0]
                 *cells, head = re.split(r"[|;:]", head)

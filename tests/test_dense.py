@@ -1,4 +1,6 @@
-from factloom.operators.dense import key_counts
+import pytest
+
+from factloom.operators.dense import heavy_blocks, key_counts
 
 ROWS = [("a", "x")] * 5 + [("a", None)] * 3 + [(None, None)] * 2 + [("", "x"), ("-", "=")]
 
@@ -8,3 +10,29 @@ def test_key_counts_keep_every_key_and_name_their_method(spark):
     got = {(r.p, r.q): r.n for r in key_counts(df, ["p", "q"]).collect()}
     assert got == {k: ROWS.count(k) for k in set(ROWS)}
     assert "in place of codes and array blocks" in key_counts.__doc__
+
+
+def heavy(df, keys, share, **more):
+    return {tuple(r) for r in heavy_blocks(df, keys, share, **more).collect()}
+
+
+def test_heavy_blocks_with_nulls_ties_repeats_and_long_texts(spark):
+    rows = [("a", None)] * 6 + [("b" * 50_000, "")] * 6 + [(None, None)] * 4 + [("", "x")] * 3 + [("c", "x")] * 5
+    df = spark.createDataFrame(rows, "p string, q string").repartition(4)
+    assert heavy(df, ["p", "q"], 4) == {("a", None, 6), ("b" * 50_000, "", 6)}
+    assert heavy(df, ["p", "q"], 6) == {("a", None, 6), ("b" * 50_000, "", 6), (None, None, 4), ("c", "x", 5)}
+
+
+def test_empty_table_has_no_blocks(spark):
+    df = spark.createDataFrame([], "p string, q string")
+    assert heavy(df, ["p"], 4) == set() and key_counts(df, ["p", "q"]).count() == 0
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("a", "b", "c")] * 3, "n string, salt string, cell string")
+    assert heavy(df, ["salt", "cell"], 2) == {("b", "c", 3)}
+    for f in (heavy_blocks, key_counts):
+        with pytest.raises(ValueError):
+            f(df, ["n"])
+        got = f(df, ["n", "salt"], count="rows")
+        assert got.columns == ["n", "salt", "rows"] and [tuple(r) for r in got.collect()] == [("a", "b", 3)]

@@ -1,6 +1,6 @@
 """Printed figures and units of problem 1."""
 
-from factloom.operators.units import resolve, segment
+from factloom.operators.units import found, resolve, segment, to_base_units
 
 
 def from_quote(value, quote, predicate="Net sales"):
@@ -33,3 +33,25 @@ def test_units_of_headings_labels_and_long_phrases_are_seen():
     assert from_quote("28", "Days | FY2018 | 28", "Days") is None
     assert from_quote("289", "EBIT 3 (USD) | Net sales | 289") is None
     assert from_quote("289", "Net sales 289 (" + " " * 50 + "USD million)") == ("USD", 289 * 10**9)
+
+
+COLUMNS = """id bigint, claim_type string, value_raw string, unit_raw string, evidence_quote string, predicate string,
+unit_dimension string, unit_currency string, unit_scale double, qualifiers map<string,string>, claim_id bigint, base_unit string"""
+
+
+def test_rows_with_nulls_repeats_long_texts_and_clashing_columns(spark):
+    row = lambda i, value, unit, quote=None: (i, "measurement", value, unit, quote, None, None, None, None, None, 77, "x")
+    rows = [
+        row(1, None, None), row(2, "", ""), row(3, "-", "USD"), row(4, "5", None),
+        row(5, "5", "USD mn"), row(5, "5", "USD mn"), row(6, "7", None, "word " * 20_000 + "7 kg"), row(None, "1", "%"),
+        (8, "state", "5", "USD", *[None] * 6, 77, "x"),
+    ]
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = sorted(map(tuple, to_base_units(df).collect()), key=repr)
+    assert got == sorted([(1, None, None), (2, None, None), (3, None, None), (4, None, None), (5, "USD", 5 * 10**9), (5, "USD", 5 * 10**9), (6, "tonnes", 7), (None, "percent", 1000)], key=repr)
+    assert found(df).count() == 4
+    assert to_base_units(df.limit(0)).count() == 0
+
+
+def test_equal_costs_always_give_the_same():
+    assert {segment.__wrapped__("mn t", None) for _ in range(5)} == {("tonnes", 10**6, 1, 1)}
