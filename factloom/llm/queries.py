@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import canonical, splitting
+from factloom.llm import canonical, names, splitting
 from factloom.sources.tables import table
 
 
@@ -26,8 +26,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.found(*(table(spark, sf_dir, t) for t in ("claims", "metrics", "metric_aliases")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of spellings of the same person or organisation."""
+    return names.found(table(spark, sf_dir, "claims"))
+
+
+def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with its frequency, its entity and how many spellings that has."""
+    return names.linked(table(spark, sf_dir, "claims"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p4_found": p4_found}
+    return {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_entities": p5_entities}
 
 
 def oracle_sql() -> dict[str, str]:
