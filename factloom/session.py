@@ -14,7 +14,6 @@ def get_spark(app: str = "factloom", cpus: int | str = "*", **conf: str) -> Spar
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("FACTLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.driver.host", "127.0.0.1")
@@ -28,11 +27,14 @@ def get_spark(app: str = "factloom", cpus: int | str = "*", **conf: str) -> Spar
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary folder is set.
+    Where the session names none a temporary folder is set, but only on a single machine: on a
+    cluster the executors wouldn't share it, so that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
 
 

@@ -14,6 +14,6 @@ def spark():
     os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
     from factloom import get_spark
 
-    session = get_spark("tests", 4, **{"spark.driver.memory": "3g"})
+    session = get_spark("tests", 8, **{"spark.driver.memory": "6g", "spark.sql.shuffle.partitions": "8"})
     yield session
     session.stop()
