@@ -139,7 +139,7 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
                 cell, word = np.nonzero(table <= table.min(axis=0) + RADIUS)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array([texts[k] for k in word], pa.string())], names=["cell", "word"])
 
-    in_cells = pool.mapInArrow(cells, "cell int, word string")
+    in_cells = _spread(pool, "word").mapInArrow(cells, "cell int, word string")
     # the word itself and each of it without one letter; two words one edit apart share one of these
     keys = F.expr("array_distinct(transform(sequence(0, length(word)), i -> xxhash64(concat(left(word, i - 1), if(i = 0, word, substring(word, i + 1))))))")
     keyed = in_cells.select("cell", "word", F.explode(keys).alias("key"))
@@ -154,6 +154,11 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
     return one_way.select(both.alias("x")).select("x.*")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by keys over all partitions: few bytes can be much work here, so they aren't to be put together by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _signatures(rest: list[str]) -> list[str]:
     """The initials of the rest: of the given name, which a nickname may be of several, or of all words of a line of business."""
     rest = [w for w in rest if w not in STATE]
@@ -302,7 +307,7 @@ def entity_of(df: DataFrame, columns: list[str]) -> DataFrame:
         rows = sorted((name, int(n), list(rest)) for name, n, rest in zip(block["name"], block["n"], block["rest"], strict=True))
         return pd.DataFrame({"name": [r[0] for r in rows], "n": [r[1] for r in rows], "entity": [f"{key[0]}|{key[1]}|{k}" for k in entities(rows)]})
 
-    return best.select("name", "b.head", "b.sig", "b.n", "b.rest").groupBy("head", "sig").applyInPandas(resolve, "name string, n bigint, entity string")
+    return _spread(best.select("name", "b.head", "b.sig", "b.n", "b.rest"), "head", "sig").groupBy("head", "sig").applyInPandas(resolve, "name string, n bigint, entity string")
 
 
 def follow(nodes: DataFrame, near_words: DataFrame) -> DataFrame:

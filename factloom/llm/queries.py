@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import canonical, names, splitting
+from factloom.llm import canonical, mixture, names, packing, recompression, splitting
 from factloom.sources.tables import table
 
 
@@ -36,8 +36,52 @@ def p5_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked(table(spark, sf_dir, "claims"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or piece of one, with its container."""
+    return packing.containers(table(spark, sf_dir, "documents"), limits(spark, sf_dir)["container_tokens"])
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are, how few there could be and how full they are."""
+    return packing.report(p7_containers(spark, sf_dir), limits(spark, sf_dir)["container_tokens"])
+
+
+#: what kind of publication a source is, the upper level of the weight tree
+DOMAINS = {"macro_review": "public bodies", "regulator_order": "public bodies"} | dict.fromkeys(["annual_report", "earnings_deck", "prospectus", "press_note", "board_minutes"], "companies")
+
+
+def _mixed(spark: SparkSession, sf_dir: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), total, DOMAINS)
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a text in a mixture as large as the listed sources together."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each listed source in that mixture."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def p8_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the largest mixture in which every source reaches its target."""
+    return _mixed(spark, sf_dir, "exact")[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of each document that stand verbatim in others."""
+    return recompression.shared_spans(table(spark, sf_dir, "documents"), limits(spark, sf_dir)["shared_min_chars"])
+
+
+def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document's text such stretches cover."""
+    return recompression.coverage(table(spark, sf_dir, "documents"), limits(spark, sf_dir)["shared_min_chars"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_entities": p5_entities}
+    named = [p2_found, p4_found, p5_found, p5_entities, p7_containers, p7_report, p8_mixture, p8_shares, p8_shares_exact, p9_found, p9_coverage]
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
