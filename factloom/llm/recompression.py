@@ -67,24 +67,43 @@ class _Signs:
             cls.word = np.array([chr(i).isalnum() for i in range(_END)] + [False])
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, n - 1), _ONE | np.uint64(1))]), dtype=np.uint64)
+class _Powers:
+    """Powers of an odd number and of its inverse, grown as texts need them."""
+
+    up = np.ones(1, dtype=np.uint64)
+    down = np.ones(1, dtype=np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size, base = max(n, CHUNK), int(_ONE)
+            for name, factor in (("up", base), ("down", pow(base, -1, 2**64))):
+                setattr(cls, name, np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(factor))]), dtype=np.uint64))
+        return cls.up, cls.down
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[:1], x[:-1]])
+
+
+def _after(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[1:], x[-1:]])
 
 
 def tokens(codes: np.ndarray) -> tuple[np.ndarray, ...]:
     """(name, context start, context end, whether it parts texts) of the tokens of joined texts."""
     word = _Signs.word[codes]
     joined = (word[1:] & word[:-1]) | ((codes[1:] == codes[:-1]) & (codes[1:] != _END))
-    start = np.flatnonzero(np.concatenate([[True], ~joined]))
-    end = np.append(start[1:], len(codes))
-    place = np.arange(len(codes)) - np.repeat(start, end - start)
-    name = _mix(np.add.reduceat(_Signs.hashed[codes] * _powers(int(place.max()) + 1)[place], start))
+    start = np.flatnonzero(np.concatenate([[True], ~joined])).astype(np.int32)
+    end = np.append(start[1:], np.int32(len(codes)))
+    place = np.arange(len(codes), dtype=np.int32) - np.repeat(start, end - start)
+    name = _mix(np.add.reduceat(_Signs.hashed[codes] * _Powers.upto(int(place.max()) + 1)[0][place], start))
     # the signs around a token settle where it begins and ends
     return name, start - 1, end + 1, codes[start] == _END
 
 
 def characters(codes: np.ndarray) -> tuple[np.ndarray, ...]:
-    at = np.arange(len(codes))
+    at = np.arange(len(codes), dtype=np.int32)
     return _Signs.hashed[codes], at, at + 1, codes == _END
 
 
@@ -103,45 +122,42 @@ def name_pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, parts: np.nd
     right = (_mix(name + np.uint64(number + 1)) & np.uint64(1)).astype(bool)
     left = ~right & ~parts
     right &= ~parts
-    pair = np.zeros(len(name), dtype=bool)
-    pair[:-1] = left[:-1] & right[1:]
-    second = np.zeros(len(name), dtype=bool)
-    second[1:] = pair[:-1]
-    nxt, before = np.minimum(np.arange(len(name)) + 1, len(name) - 1), np.maximum(np.arange(len(name)) - 1, 0)
-    keep = ~second
-    named = np.where(pair, _mix(name * _PAIR + _mix(name[nxt])), name)[keep]
-    return named, np.where(right, low[before], low)[keep], np.where(left, high[nxt], high)[keep], parts[keep]
+    pair = np.append(left[:-1] & right[1:], False)
+    keep = np.concatenate([[True], ~pair[:-1]])
+    named = np.where(pair, _mix(name * _PAIR + _after(name)), name)[keep]
+    return named, np.where(right, _before(low), low)[keep], np.where(left, _after(high), high)[keep], parts[keep]
 
 
 def window_runs(texts: list[str], least: int) -> tuple[np.ndarray, ...]:
-    """(symbol, text number, first window, windows) of the runs of windows of some texts, in order."""
+    """(symbol, run, text number, first window, windows) of the runs of windows of some texts, in order.
+
+    ``run`` is a hash of the run's text; with one symbol it has at most twice ``least`` characters.
+    """
     _Signs.load()
     joined = "\0".join(["", *texts, ""])
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.concatenate([[0], np.cumsum(lengths + 1)])  # where texts are parted; a text may hold the sign itself
     codes[ends] = _END
-    is_window = np.zeros(len(codes) + 1, dtype=np.int64)
+    mark = np.zeros(len(codes) + 1, dtype=np.int8)
     many = lengths >= least
-    np.add.at(is_window, ends[:-1][many] + 1, 1)
-    np.add.at(is_window, ends[1:][many] - least + 1, -1)
-    is_window = np.cumsum(is_window[:-1]).astype(bool)
+    mark[ends[:-1][many] + 1] += 1
+    mark[ends[1:][many] - least + 1] -= 1
+    is_window = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
 
     levels = [characters(codes), tokens(codes)]
     for number in range(ROUNDS):
         level = levels[-1]
         levels.append(name_pairs(*(name_runs(*level) if number in RUN_ROUNDS else level), number))
     owner = np.zeros(len(codes), dtype=np.uint64)
-    serial = np.zeros(len(codes), dtype=np.int64)
-    open_ = np.flatnonzero(is_window)
+    serial = np.zeros(len(codes), dtype=np.int32)
+    open_ = np.flatnonzero(is_window).astype(np.int32)
     base = 0
     for name, low, high, parts in reversed(levels):
         if not len(open_):
             break
         # the first symbol that begins to be settled at or after each window's start
-        upto = np.zeros(len(codes) + 1, dtype=np.int64)
-        np.add.at(upto, np.maximum(low, -1) + 1, 1)
-        at = np.cumsum(upto)[open_]
+        at = np.searchsorted(low, open_) if len(open_) * 16 < len(codes) else np.repeat(np.arange(len(low) + 1, dtype=np.int32), np.diff(low, prepend=-1, append=len(codes) - 1))[open_]
         ok = at < len(name)
         at = np.minimum(at, len(name) - 1)
         ok &= (high[at] <= open_ + least) & ~parts[at]
@@ -153,7 +169,10 @@ def window_runs(texts: list[str], least: int) -> tuple[np.ndarray, ...]:
     first = starts[fresh]
     n = np.diff(np.append(np.flatnonzero(fresh), len(starts)))
     number = np.searchsorted(ends, first, side="right") - 1
-    return owner[first], number, first - ends[number] - 1, n
+    up, down = _Powers.upto(len(codes) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_Signs.hashed[codes] * up[: len(codes)], dtype=np.uint64)])
+    run = _mix((sums[first + n - 1 + least] - sums[first]) * down[first])
+    return owner[first], run, number, first - ends[number] - 1, n
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
@@ -172,8 +191,7 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
 def _runs(batch: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(symbol, run hash, doc, first, windows) as arrays."""
     for docs, texts in _chunks(batch):
-        symbol, number, first, n = window_runs(texts, least)
-        run = np.fromiter((xxhash.xxh3_64_intdigest(texts[t][f : f + k - 1 + least]) for t, f, k in zip(number.tolist(), first.tolist(), n.tolist(), strict=True)), dtype=np.uint64, count=len(n))
+        symbol, run, number, first, n = window_runs(texts, least)
         yield symbol.view(np.int64), run.view(np.int64), np.array(docs, dtype=np.int64)[number], first, n
 
 
