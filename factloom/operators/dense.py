@@ -1,141 +1,93 @@
 """Per-key results where a few keys hold most rows.
 
-Keys are dictionary-encoded, every input split adds its rows into dense accumulator arrays with
-``bincount``, and array blocks are summed through a distributed reduction.  A task's work is its
-input split, whatever its keys, and what is shuffled is one array block per split, never rows.
-
-The dictionary is made of two levels: a key's hash picks one of ``slots`` cells of a dense
-histogram (first pass), and only cells that can hold a key of interest are encoded exactly
-(second pass).  Cells below the threshold cannot hold a key above it, so nothing is lost; the
-number of cells at or above ``1/share`` of the rows is at most ``share``, so the second
-dictionary is bounded by proof, however many distinct keys there are.
-
-Nulls: a null key part is a value of its own, as is an empty text; texts may be of any length.
+Keys are dictionary-encoded in every input split (the splits that Spark cuts files into are of equal
+bytes), the rows' values are added into dense accumulator arrays by code (``bincount`` and scatter
+reduction), and array blocks are summed through a distributed reduction tree (``blocks``).  A task's
+work is its input split, whatever its keys; what is shuffled is one entry per key and split, never
+rows, so a key with a third of all rows weighs as much as any other.
+
+Nulls: a null key part is a value of its own, as is an empty text; texts may be of any length; a null
+value counts as a row but not in sum, least or most, which are null where there is no value.
 Repeated rows count each time.  Blocks with equal counts are all kept or all left out.  An empty
-table has no blocks.  Keys may have any name but that of the count, which can be chosen: a clash
-raises ``ValueError``.  Keys are strings.
+table has no blocks.  Keys may have any name but those of the results, which can be chosen: a clash
+raises ``ValueError``.  Keys are strings, values whole numbers; sums beyond 64 bits raise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: cells of the first dense histogram, in blocks that are reduced separately
-SLOTS = 1 << 16
-BLOCK = 1 << 12
-
-
-def _cell(keys: list[str]) -> Column:
-    return F.pmod(F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(k)), F.lit("-")) for k in keys]), F.lit(SLOTS)).cast("int")
-
-
-def dense_histogram(df: DataFrame, cell: Column, size: int) -> DataFrame:
-    """Rows per cell as (cell, n): one bincount array per input split, summed blockwise.
-
-    ``block`` is the reduction key; each reducer adds arrays of fixed length elementwise.
-    """
+from factloom.operators.blocks import encode, reduce_blocks
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            total += np.bincount(batch.column(0).to_numpy(zero_copy_only=False), minlength=size)
-        blocks = [(b, total[b * BLOCK : (b + 1) * BLOCK]) for b in range((size + BLOCK - 1) // BLOCK)]
-        blocks = [(b, x) for b, x in blocks if x.any()]
-        if blocks:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in blocks], pa.int32()), pa.array([x.astype("<i8").tobytes() for _, x in blocks], pa.binary())],
-                names=["block", "sums"],
-            )
+_MOST, _LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
-    @F.pandas_udf("binary")
-    def add(sums: pd.Series) -> bytes:
-        return np.sum([np.frombuffer(s, dtype="<i8") for s in sums], axis=0).tobytes()
 
-    @F.pandas_udf("array<bigint>")
-    def unpack(sums: pd.Series) -> pd.Series:
-        return sums.map(lambda s: np.frombuffer(s, dtype="<i8"))
-
-    partial = df.select(cell.alias("cell")).mapInArrow(count, "block int, sums binary")
-    # a tree: splits are added in groups of parts first, then the groups
-    grouped = partial.groupBy("block", F.pmod(F.spark_partition_id(), F.lit(16)).alias("part")).agg(add("sums").alias("sums"))
-    whole = grouped.groupBy("block").agg(add("sums").alias("sums"))
-    return (
-        whole.select("block", F.posexplode(unpack("sums")).alias("at", "n"))
-        .filter("n > 0")
-        .select((F.col("block") * BLOCK + F.col("at")).alias("cell"), "n")
-    )
-
-
-def _renamed(df: DataFrame, keys: list[str], count: str) -> tuple[DataFrame, list[str], list[Column]]:
-    """The keys under names of our own, and the columns that give them and the count their names back."""
-    if count in keys or len(set(keys)) < len(keys):
-        raise ValueError(f"keys must differ from each other and from {count!r}")
+def _own_names(df: DataFrame, keys: list[str], results: list[str]) -> tuple[list[Column], list[str]]:
+    if set(results) & set(keys) or len(set(keys)) < len(keys):
+        raise ValueError(f"keys must differ from each other and from {results}")
     own = [f"k{i}" for i in range(len(keys))]
+    return [df[f"`{k}`"].cast("string").alias(o) for o, k in zip(own, keys, strict=True)], own
+
+
+def _scatter(code: np.ndarray, size: int, values: np.ndarray, how, start: int) -> np.ndarray:
+    out = np.full(size, start, dtype=np.int64)
+    how.at(out, code, values)
+    return out
+
+
+def _checked_sum(code: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
+    rough = np.bincount(code, weights=values.astype(np.float64), minlength=size)
+    if len(rough) and np.abs(rough).max() >= 2.0**63:
+        raise OverflowError("a sum has more than 64 bits")
+    return _scatter(code, size, values, np.add, 0)
+
+
+def key_results(df: DataFrame, keys: list[str], value: str | None = None, count: str = "n") -> DataFrame:
+    """(keys, n) of every key, and (total, least, most) of a whole-numbered column if one is named."""
+    results = [count, *(["total", "least", "most"] if value else [])]
+    named, own = _own_names(df, keys, results)
+    number = df[f"`{value}`"].cast("bigint") if value else F.lit(None).cast("bigint")
+    rows = df.select(*named, F.pmod(F.xxhash64(*named), F.lit(2**62)).alias("hash"), number.alias("value"))
+    schema = pa.schema([*[(o, pa.string()) for o in own], ("hash", pa.int64()), ("n", pa.int64()), ("seen", pa.int64()), ("total", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
+    ddl = ", ".join([*[f"{o} string" for o in own], "hash bigint", "n bigint", "seen bigint", "total bigint", "least bigint", "most bigint"])
+
+    def table(source: pa.Table, first: np.ndarray, results: list[np.ndarray]) -> pa.Table:
+        at = pa.array(first)
+        columns = [source.column(c).combine_chunks().take(at).cast(schema.field(c).type) for c in [*own, "hash"]]
+        return pa.Table.from_arrays([*columns, *[pa.array(r, pa.int64()) for r in results]], schema=schema)
+
+    def accumulate(source: pa.Table) -> pa.Table:
+        first, code = encode([source.column(o) for o in own])
+        size = len(first)
+        values = source.column("value").combine_chunks()
+        there = values.is_valid().to_numpy(zero_copy_only=False)
+        v, c = values.fill_null(0).to_numpy(zero_copy_only=False)[there], code[there]
+        n = np.bincount(code, minlength=size)
+        return table(source, first, [n, np.bincount(c, minlength=size), _checked_sum(c, size, v), _scatter(c, size, v, np.minimum, _MOST), _scatter(c, size, v, np.maximum, _LEAST)])
+
+    def merge(source: pa.Table) -> pa.Table:
+        first, code = encode([source.column(o) for o in own])
+        size = len(first)
+        get = lambda c: source.column(c).to_numpy()
+        adds = [_checked_sum(code, size, get(c)) for c in ("n", "seen", "total")]
+        return table(source, first, [*adds, _scatter(code, size, get("least"), np.minimum, _MOST), _scatter(code, size, get("most"), np.maximum, _LEAST)])
+
+    distinct = rows.agg(F.approx_count_distinct("hash", 0.1)).first()[0]
+    found = reduce_blocks(rows, accumulate, merge, schema, ddl, distinct)
     back = [F.col(o).alias(k) for o, k in zip(own, keys, strict=True)]
-    return df.select(*[df[f"`{k}`"].alias(o) for o, k in zip(own, keys, strict=True)]), own, [*back, F.col("n").alias(count)]
+    extra = [F.when(F.col("seen") > 0, F.col(c)).alias(c) for c in ("total", "least", "most")] if value else []
+    return found.select(*back, F.col("n").alias(count), *extra)
 
 
-def heavy_blocks(df: DataFrame, keys: list[str], share: int = 200, count: str = "n") -> DataFrame:
-    """The key combinations holding at least one in ``share`` of all rows, with their row counts.
-
-    Both passes read the table once and shuffle arrays only.  What reaches the driver is at most
-    ``share`` cells and, for them, the exact keys of those cells that a split saw often enough.
-    """
-    df, keys, back = _renamed(df, keys, count)
-    cells = dense_histogram(df, _cell(keys), SLOTS)
-    total_rows = cells.agg(F.sum("n")).first()[0]
-    if not total_rows:
-        return df.limit(0).withColumn("n", F.lit(0).cast("bigint")).select(*back)
-    least = -(-total_rows // share)
-    hot = [r.cell for r in cells.filter(F.col("n") >= least).collect()]  # at most `share` rows
-    schema = ", ".join(f"`{k}` string" for k in keys) + ", n bigint"
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[tuple, int] = {}
-        sums = np.zeros(1024, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # dictionary-encode the batch's keys, then scatter-add its codes into the dense array
-            parts = [batch.column(i).dictionary_encode() for i in range(batch.num_columns)]
-            code = np.zeros(batch.num_rows, dtype=np.int64)
-            for p in parts:
-                index = p.indices.fill_null(len(p.dictionary)).to_numpy(zero_copy_only=False)
-                code = code * (len(p.dictionary) + 1) + index
-            seen, inverse = np.unique(code, return_inverse=True)
-            local = np.bincount(inverse, minlength=len(seen))
-            values = [[*p.dictionary.to_pylist(), None] for p in parts]
-            for c, n in zip(seen.tolist(), local.tolist(), strict=True):
-                key = []
-                for v in reversed(values):
-                    c, i = divmod(c, len(v))
-                    key.append(v[i])
-                at = codes.setdefault(tuple(reversed(key)), len(codes))
-                if at >= len(sums):
-                    sums = np.concatenate([sums, np.zeros_like(sums)])
-                sums[at] += n
-        if codes:
-            columns = [pa.array(list(x), pa.string()) for x in zip(*codes, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums[: len(codes)], pa.int64())], names=[*keys, "n"])
-
-    candidates = df.filter(_cell(keys).isin(hot)).select(*keys).mapInArrow(encode, schema)
-    salt = F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt")
-    summed = candidates.groupBy(*keys, salt).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"))
-    return summed.filter(F.col("n") >= least).select(*back)
+def key_counts(df: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Rows per key over all keys."""
+    return key_results(df, keys, count=count)
 
 
-def key_counts(df: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
-    """Rows per key over all keys; each split pre-aggregates before a salted two-level reduction.
-
-    This is Spark's own hash aggregation in place of codes and array blocks: a dictionary of all keys
-    has no bound, while the aggregation spills, and after the first level a key has at most 16 rows.
-    """
-    df, keys, back = _renamed(df, keys, count)
-    salt = F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt")
-    return df.groupBy(*keys, salt).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n")).select(*back)
+def heavy_blocks(df: DataFrame, keys: list[str], share: int = 200, count: str = "n") -> DataFrame:
+    """The key combinations holding at least one in ``share`` of all rows, with their row counts."""
+    rows = df.count()
+    return key_counts(df, keys, count).filter(F.col(f"`{count}`") * share >= rows)
