@@ -25,26 +25,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# ---- fixed values: how units are written (form, base unit, numerator, denominator) ----
+# ---- fixed values: how units are written (form, base unit, numerator, denominator); a form that stands
+# more than once has several readings, the usual one first, which the field's dimension tells apart ----
 ROOTS = [
     ("Indian Rupees", "INR", 1, 1), ("Indian Rupee", "INR", 1, 1), ("rupees", "INR", 1, 1), ("rupee", "INR", 1, 1),
     ("INR", "INR", 1, 1), ("Rs.", "INR", 1, 1), ("Rs", "INR", 1, 1), ("₹", "INR", 1, 1),
-    ("U.S. dollars", "USD", 1, 1), ("US dollars", "USD", 1, 1), ("dollars", "USD", 1, 1), ("US$", "USD", 1, 1),
+    ("U.S. dollars", "USD", 1, 1), ("US dollars", "USD", 1, 1), ("dollars", "USD", 1, 1), ("dollar", "USD", 1, 1), ("US$", "USD", 1, 1),
     ("USD", "USD", 1, 1), ("$", "USD", 1, 1),
-    ("pounds sterling", "GBP", 1, 1), ("pound sterling", "GBP", 1, 1), ("GBP", "GBP", 1, 1), ("£", "GBP", 1, 1),
+    ("pounds sterling", "GBP", 1, 1), ("pound sterling", "GBP", 1, 1), ("sterling", "GBP", 1, 1), ("pounds", "GBP", 1, 1), ("pounds", "tonnes", 45359237, 10**11), ("GBP", "GBP", 1, 1), ("£", "GBP", 1, 1),
     ("euros", "EUR", 1, 1), ("euro", "EUR", 1, 1), ("EUR", "EUR", 1, 1), ("€", "EUR", 1, 1),
     ("per cent", "percent", 1, 1), ("percent", "percent", 1, 1), ("pct", "percent", 1, 1), ("%", "percent", 1, 1),
     ("basis points", "percent", 1, 100), ("basis point", "percent", 1, 100), ("bps", "percent", 1, 100), ("bp", "percent", 1, 100),
     ("percentage points", "percentage_points", 1, 1), ("percentage point", "percentage_points", 1, 1),
     ("ppt", "percentage_points", 1, 1), ("p.p.", "percentage_points", 1, 1), ("pp", "percentage_points", 1, 1),
-    ("times", "ratio", 1, 1), ("x", "ratio", 1, 1),
+    ("times", "ratio", 1, 1), ("times", "count", 1, 1), ("x", "ratio", 1, 1),
     ("count", "count", 1, 1), ("number", "count", 1, 1), ("nos.", "count", 1, 1), ("nos", "count", 1, 1),
-    ("units", "count", 1, 1), ("unit", "count", 1, 1),
+    ("units", "count", 1, 1), ("unit", "count", 1, 1), ("shipments", "count", 1, 1), ("employees", "count", 1, 1),
     ("tonnes", "tonnes", 1, 1), ("tonne", "tonnes", 1, 1), ("metric tons", "tonnes", 1, 1), ("metric ton", "tonnes", 1, 1),
-    ("tons", "tonnes", 1, 1), ("ton", "tonnes", 1, 1), ("MT", "tonnes", 1, 1), ("t", "tonnes", 1, 1),
+    ("tons", "tonnes", 1, 1), ("ton", "tonnes", 1, 1), ("t", "tonnes", 1, 1),
+    ("MT", "tonnes", 1, 1), ("mt", "tonnes", 1, 1),
     ("kilograms", "tonnes", 1, 1000), ("kilogram", "tonnes", 1, 1000), ("kgs", "tonnes", 1, 1000), ("kg", "tonnes", 1, 1000), ("Kg.", "tonnes", 1, 1000),
     ("quintals", "tonnes", 1, 10), ("quintal", "tonnes", 1, 10), ("qtl", "tonnes", 1, 10),
     ("days", "days", 1, 1), ("day", "days", 1, 1), ("d", "days", 1, 1),
+    ("points", "percentage_points", 1, 1), ("points", "percent", 1, 100), ("points", "count", 1, 1),
     ("weeks", "days", 7, 1), ("week", "days", 7, 1), ("wks", "days", 7, 1), ("wk", "days", 7, 1),
 ]
 SCALES = [
@@ -55,12 +58,18 @@ SCALES = [
     ("billions", 10**9), ("billion", 10**9), ("bn", 10**9), ("Mrd.", 10**9), ("Mrd", 10**9), ("milliards", 10**9), ("milliard", 10**9),
     ("trillions", 10**12), ("trillion", 10**12), ("tn", 10**12),
 ]
-EXPONENTS = [("'000s", 10**3), ("'000", 10**3), ("000s", 10**3), ("000", 10**3), ("10^3", 10**3), ("10^6", 10**6), ("10^9", 10**9)]
+#: thousands written as noughts, and the parts of a power of ten: how it may begin, and its exponent
+NOUGHTS = [("'000s", 10**3), ("'000", 10**3), ("000s", 10**3), ("000", 10**3)]
+POWER_STARTS = ["10^", "x10^", "x 10^", "×10^", "× 10^", "10", "x10", "×10"]
+SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
+LARGEST_EXPONENT = 15
 #: prefixes written against their root, exact case
-GLUED = [("k", 10**3), ("T", 10**3), ("M", 10**6), ("Md", 10**9)]
+GLUED = [("k", 10**3), ("K", 10**3), ("T", 10**3), ("M", 10**6), ("Md", 10**9)]
+#: letters written after their root, exact case, as in $B or €m
+AFTER = [("m", 10**6), ("M", 10**6), ("B", 10**9), ("b", 10**9), ("k", 10**3), ("K", 10**3), ("T", 10**12)]
 FILLERS = ["All amounts in", "amounts in", "in", "of", "de", "d'"]
 #: roots that are too short to be matched in another case
-EXACT_CASE = {"MT", "t", "d"}
+EXACT_CASE = {"MT", "mt", "t", "d"}
 STORED_BASE = {"percent": "percent", "percentage_points": "percentage_points", "ratio": "ratio", "count": "count", "mass_tonnes": "tonnes", "tonnes": "tonnes", "days": "days"}
 CURRENCIES = ("INR", "USD", "EUR", "GBP")
 # ---- end of fixed values ----
@@ -87,8 +96,11 @@ class Trie:
                 yield i + 1, form, payload
 
 
-_ROOTS = Trie((f, (b, n, d)) for f, b, n, d in ROOTS)
-_SCALES = Trie((f, s) for f, s in [*SCALES, *EXPONENTS])
+_ROOTS = Trie((f, (b, n, d, sum(g == f for g, *_ in ROOTS[:k]))) for k, (f, b, n, d) in enumerate(ROOTS))
+_SCALES = Trie((f, s) for f, s in [*SCALES, *NOUGHTS, ("hundred", 100)])
+_POWERS = Trie((f, None) for f in POWER_STARTS)
+_EXPONENTS = Trie((str(n).translate(str.maketrans("0123456789", SUPERSCRIPTS)) if high else str(n), (n, high)) for n in range(1, LARGEST_EXPONENT + 1) for high in (False, True))
+_AFTER = Trie((f, s) for f, s in AFTER)
 _GLUED = Trie((f, s) for f, s in GLUED)
 _FILLERS = Trie((f, None) for f in FILLERS)
 
@@ -108,12 +120,23 @@ def _is_edge(text: str, i: int) -> bool:
     return i <= 0 or i >= len(text) or not (text[i - 1].isalpha() and text[i].isalpha())
 
 
+def _powers(text: str, i: int) -> Iterator[tuple[int, int]]:
+    """(end, size) of the powers of ten that start at a position: a start, then an exponent in plain or raised digits."""
+    if i and text[i - 1].isdigit():
+        return
+    for j, form, _ in _POWERS.walk(text, i):
+        for k, _, (exponent, high) in _EXPONENTS.walk(text, j):
+            if high != (form[-1] == "^") and not (k < len(text) and text[k].isdigit()):
+                yield k, 10**exponent
+
+
 @_cached(maxsize=200_000)
 def segment(text: str, prior: str | None = None) -> tuple[str | None, int | None, int, int] | None:
     """Cheapest decomposition of a whole unit string: (base, scale, numerator, denominator) or None.
 
-    Scale None means that none is written.  Costs: one per lexeme, so that longer lexemes win;
-    a root outside the field's stored dimension costs 0.4 more.  A text may have any length.  A state of the dynamic
+    Scale None means that none is written.  Costs: one per lexeme, so that longer lexemes win; an
+    unusual reading of a root costs 0.05 more, one outside the field's stored dimension 0.4, so that
+    "pounds" are tonnes in a field of masses, and pounds sterling in any other.  A text may have any length.  A state of the dynamic
     programme is what has been read up to a position: base, factor, scale, inside a gloss.
     """
     n, reach = len(text), 0
@@ -150,14 +173,21 @@ def segment(text: str, prior: str | None = None) -> tuple[str | None, int | None
                             push(j, (base, scale, num, den, True, False), cost + 0.5)
                     else:
                         push(j, (base, (scale or 1) * size, num, den, False, False), cost + 1)
+                for j, power in _powers(text, i):
+                    if not gloss:
+                        push(j, (base, (scale or 1) * power, num, den, False, False), cost + 1)
+                if base is not None and scale is None and not gloss:
+                    for j, form, size in _AFTER.walk(text, i):
+                        if text[i:j] == form and _is_edge(text, j):
+                            push(j, (base, size, num, den, False, False), cost + 1)
                 for j, form, size in _GLUED.walk(text, i):
                     if text[i:j] == form and not gloss and scale is None and j < n and not text[j].isspace():
                         push(j, (base, size, num, den, False, True), cost + 0.6)
             if edge or glued:
-                for j, form, (root, rn, rd) in _ROOTS.walk(text, i):
+                for j, form, (root, rn, rd, unusual) in _ROOTS.walk(text, i):
                     if not _is_edge(text, j) or (form in EXACT_CASE and text[i:j] != form):
                         continue
-                    extra = 1 + (0.4 if prior and root != prior else 0.0)
+                    extra = 1 + 0.05 * unusual + (0.4 if prior and root != prior else 0.0)
                     if base is None:
                         push(j, (root, scale, rn, rd, gloss, False), cost + extra)
                     elif gloss and root == base:
@@ -397,6 +427,12 @@ def _qualified(qualifiers) -> tuple | None:
 
 def resolve(value_raw, unit_raw, quote, predicate, dimension, currency, scale, qualifiers) -> tuple[str, int] | None:
     """(base unit, thousandths) of one measurement, or None where figure or unit can't be determined."""
+    found = measure(value_raw, unit_raw, lambda: quote, predicate, dimension, currency, scale, lambda: qualifiers)
+    return found and found[:2]
+
+
+def measure(value_raw, unit_raw, quote, predicate, dimension, currency, scale, qualifiers) -> tuple[str, int, bool] | None:
+    """(base unit, thousandths, whether they are exact); quote and qualifiers are asked for only if what comes before them leaves the unit open."""
     parts = _split_value(value_raw) if value_raw else None
     if parts is None:
         return None
@@ -407,21 +443,19 @@ def resolve(value_raw, unit_raw, quote, predicate, dimension, currency, scale, q
         if unit_raw:
             unit = _merge(unit, segment(unit_raw.strip(), prior))
         if unit is None or not _complete(unit):
-            if quote:
-                unit = _merge(unit, _from_quote(quote, predicate, token, prior))
+            if text := quote():
+                unit = _merge(unit, _from_quote(text, predicate, token, prior))
             if unit is None or not _complete(unit):
                 unit = _supply(unit, _stored(dimension, currency, scale))
                 if unit is None or not _complete(unit):
-                    unit = _supply(unit, _qualified(qualifiers))
+                    unit = _supply(unit, _qualified(qualifiers()))
     if unit is None or unit[0] is None:
         return None
     base, size, num, den = unit
     milli, rest = divmod(digits * (size or 1) * num * 1000, 10**decimals * den)
     if rest * 2 >= 10**decimals * den:
         milli += 1
-    if milli >= 2**63:
-        return None
-    return base, -milli if negative else milli
+    return base, -milli if negative else milli, rest == 0
 
 
 def _complete(unit: tuple) -> bool:
@@ -439,39 +473,45 @@ def _supply(unit: tuple | None, later: tuple | None) -> tuple | None:
     if unit is None or later is None:
         return unit or later
     if unit[0] is None:
-        return later[0], unit[1], 1, 1
+        return later[0], unit[1], later[2], later[3]
     if unit[1] is None and later[0] is None and unit[0] in CURRENCIES:
         return unit[0], later[1], unit[2], unit[3]
     return unit
 
 
-_COLUMNS = ["value_raw", "unit_raw", "evidence_quote", "predicate", "unit_dimension", "unit_currency", "unit_scale", "qualifiers"]
+_COLUMNS = ["value_raw", "unit_raw", "predicate", "unit_dimension", "unit_currency", "unit_scale"]
 
 
 def to_base_units(claims: DataFrame, id_col: str = "id") -> DataFrame:
-    """One row (claim_id, base_unit, base_milli) per measurement claim, nulls where undeterminable.
+    """One row (claim_id, base_unit, base_milli, problem) per measurement claim, nulls where undeterminable.
 
-    A narrow per-batch map: no shuffle, nothing broadcast but the code, and each distinct unit
-    string is segmented once per worker.
+    ``problem`` says why: "undetermined", "beyond 64 bits", or "rounded" where the value isn't a
+    whole number of thousandths.  A narrow per-batch map: no shuffle, nothing broadcast but the code;
+    each distinct unit string is segmented once per worker, and quotes and qualifiers are read only
+    for the rows that need them.
     """
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in _COLUMNS]
-            found = [resolve(*row) for row in zip(*columns, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("claim_id"),
-                    pa.array([f and f[0] for f in found], pa.string()),
-                    pa.array([f and f[1] for f in found], pa.int64()),
-                ],
-                names=["claim_id", "base_unit", "base_milli"],
-            )
-
-    rows = claims.filter(F.col("claim_type") == "measurement").select(F.col(id_col).cast("bigint").alias("claim_id"), *_COLUMNS)
-    return rows.mapInArrow(convert, "claim_id bigint, base_unit string, base_milli bigint")
+            quotes, qualifiers = batch.column("evidence_quote"), batch.column("qualifiers")
+            base, milli, problem = [], [], []
+            rows = zip(*(batch.column(c).to_pylist() for c in _COLUMNS), strict=True)
+            for i, (value_raw, unit_raw, predicate, dimension, currency, scale) in enumerate(rows):
+                found = measure(value_raw, unit_raw, lambda i=i: quotes[i].as_py(), predicate, dimension, currency, scale, lambda i=i: qualifiers[i].as_py())
+                if found is not None and abs(found[1]) >= 2**63:
+                    found, said = None, "beyond 64 bits"
+                else:
+                    said = "undetermined" if found is None else None if found[2] else "rounded"
+                base.append(found and found[0])
+                milli.append(found and found[1])
+                problem.append(said)
+            arrays = [batch.column("claim_id"), pa.array(base, pa.string()), pa.array(milli, pa.int64()), pa.array(problem, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["claim_id", "base_unit", "base_milli", "problem"])
+
+    rows = claims.filter(F.col("claim_type") == "measurement").select(F.col(id_col).cast("bigint").alias("claim_id"), *_COLUMNS, "evidence_quote", "qualifiers")
+    return rows.mapInArrow(convert, "claim_id bigint, base_unit string, base_milli bigint, problem string")
 
 
 def found(claims: DataFrame) -> DataFrame:
     """The measurement claims with a printed figure and a determinable unit."""
-    return to_base_units(claims).filter(F.col("base_unit").isNotNull())
+    return to_base_units(claims).filter(F.col("base_unit").isNotNull()).drop("problem")
