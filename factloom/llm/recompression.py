@@ -8,19 +8,21 @@ by hash, so names are the same in every document without any exchange, and equal
 symbols but for a margin at each end.
 
 Every symbol carries the stretch of text that settles it (its context).  A window of ``least``
-characters belongs to the first symbol of the highest round whose context lies in it; which one that
-is depends on the window's characters alone, so equal windows belong to equally named symbols.  If no
-higher symbol is settled a lower one is; a window in one long word belongs to one of its characters.
-Consecutive windows of one symbol are a run:
+characters belongs to a symbol of the highest round of which any has its context in the window, to the
+one whose name has the smallest hash; which one that is depends on the window's characters alone, so
+equal windows belong to equally named symbols.  If no higher symbol is settled a lower one is; a window
+in one long word belongs to one of its characters.  Consecutive windows of one symbol are a run:
 
-1. Rows (symbol, hash of the run's text, document, place) are grouped by symbol.  A run whose text
-   stands in two documents is shared as a whole; symbols of one document are done with.
+1. Rows (key, hash of the run's text, document, place) are grouped by key, the symbol.  A run whose
+   text stands in two documents is shared as a whole; keys of one document are done with.
 2. The windows of what is left, runs beginning or ending at the edge of a passage, are compared as
-   texts within their symbol, or by hashes of 128 bits where a symbol has more runs than ``CROWD``.
+   texts within their key, or by hashes of 128 bits where a key has more runs than ``CROWD``.
 3. Stretches are merged per document.
 
-Hot groups: from a bounded sample of documents, runs seen in two of them are proven shared and symbols
-seen often are known; their rows are spread over all tasks.  Nothing is left out at any step.
+Hot groups: a bounded sample of documents shows which symbols are met often.  Their runs are told apart
+by more of the text that their windows share.  Keys that are hot even so are the long repeats: runs
+that the sample has in several documents are proven shared, and the rows of hot keys are spread over
+all tasks.  The sample only decides ways; nothing is left out at any step.
 
 Null, empty and shorter texts share nothing.  Lengths are code points.  A repeat inside one document
 alone isn't shared; rows with one doc_id are one document's.  An empty table shares nothing.
@@ -37,13 +39,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: rounds of pairs, and those that name runs first
-ROUNDS, RUN_ROUNDS = 8, frozenset({4})
+ROUNDS, RUN_ROUNDS = 6, frozenset({3})
 #: characters parsed at once
 CHUNK = 1 << 19
 #: runs of one symbol that are compared as texts in one task
-CROWD = 256
-#: documents in the sample that finds hot symbols, and the share of them that makes one
-SAMPLE, HOT = 2000, 0.01
+CROWD = 1024
+#: documents in the sample that finds hot keys, about, and the share of them that makes one
+SAMPLE, HOT = 2000, 0.005
 _END = 0x110000
 _ONE, _PAIR, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -128,10 +130,12 @@ def name_pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, parts: np.nd
     return named, np.where(right, _before(low), low)[keep], np.where(left, _after(high), high)[keep], parts[keep]
 
 
-def window_runs(texts: list[str], least: int) -> tuple[np.ndarray, ...]:
-    """(symbol, run, text number, first window, windows) of the runs of windows of some texts, in order.
+def window_runs(texts: list[str], least: int, often: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(symbol, key, run, text number, first window, windows) of the runs of windows of some texts.
 
-    ``run`` is a hash of the run's text; with one symbol it has at most twice ``least`` characters.
+    ``key`` is the symbol itself or, for those that are ``often`` met (all, if None), a hash of the
+    symbol and of text that all windows of the run have around it.  ``run`` is a hash of the run's
+    text, which has at most twice ``least`` characters.
     """
     _Signs.load()
     joined = "\0".join(["", *texts, ""])
@@ -139,40 +143,76 @@ def window_runs(texts: list[str], least: int) -> tuple[np.ndarray, ...]:
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.concatenate([[0], np.cumsum(lengths + 1)])  # where texts are parted; a text may hold the sign itself
     codes[ends] = _END
-    mark = np.zeros(len(codes) + 1, dtype=np.int8)
     many = lengths >= least
-    mark[ends[:-1][many] + 1] += 1
-    mark[ends[1:][many] - least + 1] -= 1
-    is_window = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+    start, end = ends[:-1][many] + 1, ends[1:][many] - least + 1  # of each text's windows
 
     levels = [characters(codes), tokens(codes)]
     for number in range(ROUNDS):
         level = levels[-1]
         levels.append(name_pairs(*(name_runs(*level) if number in RUN_ROUNDS else level), number))
-    owner = np.zeros(len(codes), dtype=np.uint64)
-    serial = np.zeros(len(codes), dtype=np.int32)
-    open_ = np.flatnonzero(is_window).astype(np.int32)
-    base = 0
-    for name, low, high, parts in reversed(levels):
-        if not len(open_):
-            break
-        # the first symbol that begins to be settled at or after each window's start
-        at = np.searchsorted(low, open_) if len(open_) * 16 < len(codes) else np.repeat(np.arange(len(low) + 1, dtype=np.int32), np.diff(low, prepend=-1, append=len(codes) - 1))[open_]
-        ok = at < len(name)
-        at = np.minimum(at, len(name) - 1)
-        ok &= (high[at] <= open_ + least) & ~parts[at]
-        owner[open_[ok]], serial[open_[ok]] = name[at[ok]], base + at[ok]
-        open_ = open_[~ok]
-        base += len(name)
-    starts = np.flatnonzero(is_window)
-    fresh = np.concatenate([[True], (serial[starts[1:]] != serial[starts[:-1]]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else np.zeros(0, dtype=bool)
-    first = starts[fresh]
-    n = np.diff(np.append(np.flatnonzero(fresh), len(starts)))
-    number = np.searchsorted(ends, first, side="right") - 1
+    found = []
+    while len(start):
+        name, low, high, _ = levels.pop()
+        first, n, own, start, end = _owned(name, low, high, start, end, least)
+        found.append((name[own], low[own], high[own], first, n))
+    symbol, low, high, first, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 5
     up, down = _Powers.upto(len(codes) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_Signs.hashed[codes] * up[: len(codes)], dtype=np.uint64)])
-    run = _mix((sums[first + n - 1 + least] - sums[first]) * down[first])
-    return owner[first], run, number, first - ends[number] - 1, n
+
+    def text_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _mix((sums[b] - sums[a]) * down[a])
+
+    symbol = symbol.astype(np.uint64)
+    key = symbol
+    common = np.ones(len(symbol), dtype=bool) if often is None else np.isin(symbol, often)
+    if common.any():
+        # windows of a frequent symbol are told apart by more of their text: what follows its start, or what is before
+        split = np.maximum(low - least * 2 // 5, 0)
+        late, early = common & (first + n > split), common & (first < split)
+        part = lambda x: np.concatenate([x[~common], x[late], x[early]])
+        after = np.concatenate([first[~common], np.maximum(first, split)[late], first[early]])
+        until = np.concatenate([(first + n)[~common], (first + n)[late], np.minimum(first + n, split)[early]])
+        told = np.concatenate([symbol[~common], symbol[late] ^ text_hash(low[late], low[late] + (least - least * 2 // 5)), ~symbol[early] ^ text_hash(split[early], high[early])])
+        symbol, key, first, n = part(symbol), told, after, until - after
+    run = text_hash(first, first + n - 1 + least)
+    number = np.searchsorted(ends, first, side="right") - 1
+    return symbol, key, run, number, first - ends[number] - 1, n
+
+
+def _owned(name: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that own a symbol of this level (first window, windows, symbol), and the stretches of windows that own none.
+
+    Between the places where a context enters or leaves it, a window has the same settled symbols.
+    """
+    cut = np.unique(np.concatenate([low + 1, high - least, start, end]))
+    at = np.searchsorted(start, cut, side="right") - 1
+    inside = (at >= 0) & (cut < end[np.maximum(at, 0)])
+    until = np.append(cut[1:], cut[-1])[inside]
+    at, cut = at[inside], cut[inside]
+    from_, to = np.searchsorted(low, cut), np.searchsorted(high, cut + least, side="right") - 1
+    has = to >= from_
+    # a sparse table of the places of range minima of the names' hashes
+    rank = _mix(name + _RUN)
+    width = (to - from_ + 1)[has]
+    table = [np.arange(len(name))]
+    while len(width) and 2 << (len(table) - 1) <= width.max():
+        a, b = table[-1][: -(1 << (len(table) - 1))], table[-1][1 << (len(table) - 1) :]
+        table.append(np.where(rank[b] < rank[a], b, a))
+    own = np.zeros(len(width), dtype=np.int64)
+    step = np.frexp(width)[1] - 1
+    for k in range(len(table)):
+        mine = step == k
+        a, b = table[k][from_[has][mine]], table[k][to[has][mine] + 1 - (1 << k)]
+        own[mine] = np.where(rank[b] < rank[a], b, a)
+    owner = np.full(len(cut), -1)
+    owner[has] = own
+    # pieces that follow each other in a text with one owner are a run
+    fresh = np.concatenate([[True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1]) | (cut[1:] != until[:-1])]) if len(cut) else np.zeros(0, dtype=bool)
+    head = np.flatnonzero(fresh)
+    tail = np.append(head[1:], len(cut)) - 1 if len(head) else head
+    first, last, owner = cut[head], until[tail], owner[head]
+    some = owner >= 0
+    return first[some], (last - first)[some], owner[some], first[~some], last[~some]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
@@ -188,34 +228,36 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
         yield docs, texts
 
 
-def _runs(batch: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(symbol, run hash, doc, first, windows) as arrays."""
+def _runs(batch: pa.RecordBatch, least: int, often: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(symbol, key, run, doc, first, windows) as arrays."""
     for docs, texts in _chunks(batch):
-        symbol, run, number, first, n = window_runs(texts, least)
-        yield symbol.view(np.int64), run.view(np.int64), np.array(docs, dtype=np.int64)[number], first, n
-
-
-_RUN_SCHEMA = "symbol bigint, run bigint, doc_id bigint, first bigint, n int, hot tinyint"
-
-
-def _hot(documents: DataFrame, texts: DataFrame, least: int) -> tuple[dict[tuple[int, int], tuple[int, int]], set[int]]:
-    """Of a bounded sample: runs proven shared with one place each, and symbols seen often."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for symbol, run, doc, first, _ in _runs(batch, least):
-                yield pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(run), pa.array(doc), pa.array(first)], names=["symbol", "run", "doc_id", "first"])
-
-    # about SAMPLE documents, by hash; texts as long as they are
-    share = min(1.0, SAMPLE / max(1, documents.count()))
-    sample = texts.filter(F.xxhash64("doc_id") / 2.0**64 + 0.5 < share)
-    rows = sample.mapInArrow(parse, "symbol bigint, run bigint, doc_id bigint, first bigint")
-    least_seen = max(2, int(SAMPLE * HOT))
-    seen = rows.groupBy("symbol", "run").agg(F.count_distinct("doc_id").alias("docs"), F.min(F.struct("doc_id", "first")).alias("place"))
-    often = seen.withColumn("all", F.sum("docs").over(Window.partitionBy("symbol"))).filter(F.col("all") >= least_seen)
-    shared = F.col("docs") >= least_seen
-    kept = often.select("symbol", F.when(shared, F.col("run")).alias("run"), F.when(shared, F.col("place")).alias("place")).distinct().collect()
-    return {(r.symbol, r.run): tuple(r.place) for r in kept if r.run is not None}, {r.symbol for r in kept}
+        symbol, key, run, number, first, n = window_runs(texts, least, often)
+        yield symbol.view(np.int64), key.view(np.int64), run.view(np.int64), np.array(docs, dtype=np.int64)[number], first, n
+
+
+class _Hot:
+    """What a bounded sample shows: symbols and keys met often, and runs proven shared with one place of each."""
+
+    def __init__(self, documents: DataFrame, texts: DataFrame, least: int):
+        def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for symbol, key, run, doc, first, _ in _runs(batch, least):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (symbol, key, run, doc, first)], names=["symbol", "key", "run", "doc_id", "first"])
+
+        # about SAMPLE documents, by hash; texts as long as they are
+        share = min(1.0, SAMPLE / max(1, documents.count()))
+        sample = texts.filter(F.xxhash64("doc_id") / 2.0**64 + 0.5 < share)
+        rows = sample.mapInArrow(parse, "symbol bigint, key bigint, run bigint, doc_id bigint, first bigint")
+        many = max(2, int(SAMPLE * HOT))
+        seen = rows.groupBy("symbol", "key", "run").agg(F.count_distinct("doc_id").alias("docs"), F.min(F.struct("doc_id", "first")).alias("place"))
+        for level in ("symbol", "key"):
+            seen = seen.withColumn(f"in_{level}", F.sum("docs").over(Window.partitionBy(level)))
+        proven, keyed = F.col("docs") >= many, F.col("in_key") >= many
+        kept = seen.filter(F.col("in_symbol") >= many).select("symbol", F.when(keyed, F.col("key")).alias("key"), F.when(proven, F.col("run")).alias("run"), F.when(proven, F.col("place")).alias("place"))
+        kept = kept.distinct().collect()
+        self.symbols = np.array(sorted({r.symbol for r in kept}), dtype=np.int64).view(np.uint64)
+        self.keys = np.array(sorted({r.key for r in kept if r.key is not None}), dtype=np.int64)
+        self.proven = {(r.key, r.run): tuple(r.place) for r in kept if r.run is not None}
 
 
 def _compared(runs: dict[str, list[tuple[int, int, bool]]], least: int) -> Iterator[tuple[int, int, int]]:
@@ -242,56 +284,59 @@ def _compared(runs: dict[str, list[tuple[int, int, bool]]], least: int) -> Itera
 
 def shared_spans(documents: DataFrame, least: int) -> DataFrame:
     """(doc_id, span_start, span_end) of the maximal stretches made of shared windows."""
+    if least >= 1 << 18:
+        raise ValueError("a window has too many characters")
     texts = documents.filter((F.length("text") >= least) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    shared = documents.sparkSession.sparkContext.broadcast(_hot(documents, texts, least))
+    shared = documents.sparkSession.sparkContext.broadcast(_Hot(documents, texts, least))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        proven, often = shared.value
-        symbols = np.array(sorted(often), dtype=np.int64)
+        hot_ones: _Hot = shared.value
         for batch in batches:
-            for symbol, run, doc, first, n in _runs(batch, least):
-                hot = np.isin(symbol, symbols).astype(np.int8)
+            for _, key, run, doc, first, n in _runs(batch, least, hot_ones.symbols):
+                hot = np.isin(key, hot_ones.keys).astype(np.int64)
                 for k in np.flatnonzero(hot).tolist():
-                    if (place := proven.get((int(symbol[k]), int(run[k])))) is not None:
+                    if (place := hot_ones.proven.get((int(key[k]), int(run[k])))) is not None:
                         hot[k] = 3 if place == (int(doc[k]), int(first[k])) else 2
-                yield pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(run), pa.array(doc), pa.array(first), pa.array(n.astype(np.int32)), pa.array(hot)], names=["symbol", "run", "doc_id", "first", "n", "hot"])
-
-    rows = texts.mapInArrow(parse, _RUN_SCHEMA)
-    # hot rows need no group: proven ones are spread by document, others of a hot symbol by run
-    key = F.when(F.col("hot") >= 2, F.xxhash64("doc_id", "first")).when(F.col("hot") == 1, F.xxhash64("symbol", "run")).otherwise(F.col("symbol"))
-    in_symbol, in_run = Window.partitionBy("key", "symbol"), Window.partitionBy("key", "symbol", "run")
-    rows = rows.withColumn("key", key)
-    rows = rows.withColumn("low", F.min("doc_id").over(in_symbol)).withColumn("high", F.max("doc_id").over(in_symbol)).filter("hot > 0 OR low <> high")
+                # hot rows need no group: proven ones are spread by place, others of a hot key by run
+                spread = _mix(key.view(np.uint64) ^ _mix(run.view(np.uint64)))
+                alone = _mix(spread ^ _mix(doc.astype(np.uint64) * _ONE + first.astype(np.uint64)))
+                key = np.where(hot > 1, alone, np.where(hot > 0, spread, key.view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(run), pa.array(doc), pa.array((first << 22) + (n << 2) + hot)], names=["key", "run", "doc_id", "place"])
+
+    rows = texts.mapInArrow(parse, "key bigint, run bigint, doc_id bigint, place bigint")
+    hot = F.col("place").bitwiseAND(3)
+    in_key, in_run = Window.partitionBy("key"), Window.partitionBy("key", "run")
+    rows = rows.withColumn("low", F.min("doc_id").over(in_key)).withColumn("high", F.max("doc_id").over(in_key)).filter((hot > 0) | (F.col("low") != F.col("high")))
     rows = rows.withColumn("low", F.min("doc_id").over(in_run)).withColumn("high", F.max("doc_id").over(in_run))
-    place = F.struct("doc_id", "first")
-    rows = rows.withColumn("whole", (F.col("hot") >= 2) | (F.col("low") != F.col("high"))).withColumn("lead", F.when(F.col("hot") != 2, F.min(place).over(in_run) == place).otherwise(False))
-    rows = rows.withColumn("open", F.count_if(~F.col("whole")).over(in_symbol)).withColumn("runs", F.count_if(F.col("lead")).over(in_symbol))
+    at = F.struct("doc_id", "place")
+    rows = rows.withColumn("whole", (hot >= 2) | (F.col("low") != F.col("high"))).withColumn("lead", F.when(hot != 2, F.min(at).over(in_run) == at).otherwise(False))
+    rows = rows.withColumn("open", F.count_if(~F.col("whole")).over(in_key)).withColumn("runs", F.count_if(F.col("lead")).over(in_key))
     # 0: a shared stretch; 1: to be compared; 2: shared, and compared on behalf of its run
-    partner = F.col("lead") & ((F.col("open") > 0) | (F.col("hot") > 0))
+    partner = F.col("lead") & ((F.col("open") > 0) | (hot > 0))
     kind = F.when(~F.col("whole"), 1).when(partner, 2).otherwise(0)
-    crowd = (F.col("hot") > 0) | (F.col("runs") > CROWD)
-    wanted = rows.select("doc_id", F.struct("symbol", "first", "n", kind.alias("kind"), crowd.alias("crowd")).alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("at"))
+    crowd = (hot > 0) | (F.col("runs") > CROWD)
+    wanted = rows.select("doc_id", F.struct("key", "place", kind.alias("kind"), crowd.alias("crowd")).alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("at"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 out: list[tuple] = []
                 spans: list[list[int]] = []
-                for x in sorted(at, key=lambda x: x["first"]):
-                    s, n = x["first"], x["n"]
+                for x in sorted(at, key=lambda x: x["place"]):
+                    s, n = x["place"] >> 22, (x["place"] >> 2) & ((1 << 20) - 1)
                     if x["kind"] != 1:
                         if spans and s <= spans[-1][1] + 1:
                             spans[-1][1] = max(spans[-1][1], s + n + least - 2)
                         else:
                             spans.append([s, s + n + least - 2])
                     if x["kind"] and not x["crowd"]:
-                        out.append((x["symbol"], 0, doc, s, 0, x["kind"] == 2, text[s : s + n - 1 + least]))
+                        out.append((x["key"], 0, doc, s, 0, x["kind"] == 2, text[s : s + n - 1 + least]))
                     elif x["kind"]:
                         for i in range(s, s + n):
                             h = xxhash.xxh3_128_intdigest(text[i : i + least])
                             out.append((_signed(h >> 64), _signed(h), doc, i, 0, x["kind"] == 2, None))
                 out += [(doc, 0, doc, s, e, None, None) for s, e in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT, strict=True)], names=["symbol", "window", "doc_id", "s", "e", "several", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _OUT, strict=True)], names=["key", "window", "doc_id", "s", "e", "several", "run"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by symbol, then window; stretches pass through, single windows are counted, runs compared."""
@@ -321,9 +366,9 @@ def shared_spans(documents: DataFrame, least: int) -> DataFrame:
             out = []
         yield _spans([*out, *_compared(runs, least)])
 
-    out_schema = "symbol bigint, window bigint, doc_id bigint, s bigint, e bigint, several boolean, run string"
+    out_schema = "key bigint, window bigint, doc_id bigint, s bigint, e bigint, several boolean, run string"
     found = texts.join(wanted, "doc_id").select("doc_id", "text", "at").mapInArrow(expand, out_schema)
-    spans = found.repartition("symbol").sortWithinPartitions("symbol", "window").mapInArrow(compare, "doc_id bigint, s bigint, e bigint")
+    spans = found.repartition("key").sortWithinPartitions("key", "window").mapInArrow(compare, "doc_id bigint, s bigint, e bigint")
     ordered = Window.partitionBy("doc_id").orderBy("s", "e")
     before = F.max("e").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     numbered = spans.withColumn("fresh", F.coalesce(F.col("s") > before + 1, F.lit(True)).cast("bigint")).withColumn("stretch", F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
