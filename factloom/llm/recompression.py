@@ -11,18 +11,18 @@ Every symbol carries the stretch of text that settles it (its context).  A windo
 characters belongs to a symbol of the highest round of which any has its context in the window, to the
 one whose name has the smallest hash; which one that is depends on the window's characters alone, so
 equal windows belong to equally named symbols.  If no higher symbol is settled a lower one is; a window
-in one long word belongs to one of its characters.  Consecutive windows of one symbol are a run:
+in one long word belongs to one of its characters.  Consecutive windows of one symbol are a run; its key
+is the symbol with the text that all of them have around its start, three fifths of a window:
 
-1. Rows (key, hash of the run's text, document, place) are grouped by key, the symbol.  A run whose
-   text stands in two documents is shared as a whole; keys of one document are done with.
+1. Rows (key, hash of the run's text, document, place) are grouped by key.  A run whose text stands in
+   two documents is shared as a whole; keys of one document are done with.
 2. The windows of what is left, runs beginning or ending at the edge of a passage, are compared as
    texts within their key, or by hashes of 128 bits where a key has more runs than ``CROWD``.
 3. Stretches are merged per document.
 
-Hot groups: a bounded sample of documents shows which symbols are met often.  Their runs are told apart
-by more of the text that their windows share.  Keys that are hot even so are the long repeats: runs
-that the sample has in several documents are proven shared, and the rows of hot keys are spread over
-all tasks.  The sample only decides ways; nothing is left out at any step.
+Hot groups: a bounded sample of documents shows which keys are met often.  Runs that it has in several
+documents are proven shared, and the rows of hot keys are spread over all tasks.  The sample only
+decides ways; nothing is left out at any step.
 
 Null, empty and shorter texts share nothing.  Lengths are code points.  A repeat inside one document
 alone isn't shared; rows with one doc_id are one document's.  An empty table shares nothing.
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: rounds of pairs, and those that name runs first
-ROUNDS, RUN_ROUNDS = 6, frozenset({3})
+ROUNDS, RUN_ROUNDS = 5, frozenset({2})
 #: characters parsed at once
 CHUNK = 1 << 19
 #: runs of one symbol that are compared as texts in one task
@@ -130,12 +130,11 @@ def name_pairs(name: np.ndarray, low: np.ndarray, high: np.ndarray, parts: np.nd
     return named, np.where(right, _before(low), low)[keep], np.where(left, _after(high), high)[keep], parts[keep]
 
 
-def window_runs(texts: list[str], least: int, often: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """(symbol, key, run, text number, first window, windows) of the runs of windows of some texts.
+def window_runs(texts: list[str], least: int) -> tuple[np.ndarray, ...]:
+    """(key, run, text number, first window, windows) of the runs of windows of some texts.
 
-    ``key`` is the symbol itself or, for those that are ``often`` met (all, if None), a hash of the
-    symbol and of text that all windows of the run have around it.  ``run`` is a hash of the run's
-    text, which has at most twice ``least`` characters.
+    ``key`` is a hash of the owning symbol and of text that all windows of the run have around it.
+    ``run`` is a hash of the run's text, which has at most twice ``least`` characters.
     """
     _Signs.load()
     joined = "\0".join(["", *texts, ""])
@@ -162,21 +161,17 @@ def window_runs(texts: list[str], least: int, often: np.ndarray | None = None) -
     def text_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return _mix((sums[b] - sums[a]) * down[a])
 
-    symbol = symbol.astype(np.uint64)
-    key = symbol
-    common = np.ones(len(symbol), dtype=bool) if often is None else np.isin(symbol, often)
-    if common.any():
-        # windows of a frequent symbol are told apart by more of their text: what follows its start, or what is before
-        split = np.maximum(low - least * 2 // 5, 0)
-        late, early = common & (first + n > split), common & (first < split)
-        part = lambda x: np.concatenate([x[~common], x[late], x[early]])
-        after = np.concatenate([first[~common], np.maximum(first, split)[late], first[early]])
-        until = np.concatenate([(first + n)[~common], (first + n)[late], np.minimum(first + n, split)[early]])
-        told = np.concatenate([symbol[~common], symbol[late] ^ text_hash(low[late], low[late] + (least - least * 2 // 5)), ~symbol[early] ^ text_hash(split[early], high[early])])
-        symbol, key, first, n = part(symbol), told, after, until - after
+    # windows that begin late in the reach of a symbol are told apart by what follows its start, others by what is before
+    split = np.maximum(low - least * 2 // 5, 0)
+    late, early = first + n > split, first < split
+    symbol, low, high = symbol.astype(np.uint64), low.astype(np.int64), high.astype(np.int64)
+    key = np.concatenate([symbol[late] ^ text_hash(low[late], low[late] + (least - least * 2 // 5)), ~symbol[early] ^ text_hash(split[early], high[early])])
+    until = np.concatenate([(first + n)[late], np.minimum(first + n, split)[early]])
+    first = np.concatenate([np.maximum(first, split)[late], first[early]])
+    n = until - first
     run = text_hash(first, first + n - 1 + least)
     number = np.searchsorted(ends, first, side="right") - 1
-    return symbol, key, run, number, first - ends[number] - 1, n
+    return key, run, number, first - ends[number] - 1, n
 
 
 def _owned(name: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -228,35 +223,32 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
         yield docs, texts
 
 
-def _runs(batch: pa.RecordBatch, least: int, often: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(symbol, key, run, doc, first, windows) as arrays."""
+def _runs(batch: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, run, doc, first, windows) as arrays."""
     for docs, texts in _chunks(batch):
-        symbol, key, run, number, first, n = window_runs(texts, least, often)
-        yield symbol.view(np.int64), key.view(np.int64), run.view(np.int64), np.array(docs, dtype=np.int64)[number], first, n
+        key, run, number, first, n = window_runs(texts, least)
+        yield key.view(np.int64), run.view(np.int64), np.array(docs, dtype=np.int64)[number], first, n
 
 
 class _Hot:
-    """What a bounded sample shows: symbols and keys met often, and runs proven shared with one place of each."""
+    """What a bounded sample shows: keys met often, and runs proven shared with one place of each."""
 
     def __init__(self, documents: DataFrame, texts: DataFrame, least: int):
         def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for symbol, key, run, doc, first, _ in _runs(batch, least):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (symbol, key, run, doc, first)], names=["symbol", "key", "run", "doc_id", "first"])
+                for key, run, doc, first, _ in _runs(batch, least):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, run, doc, first)], names=["key", "run", "doc_id", "first"])
 
         # about SAMPLE documents, by hash; texts as long as they are
         share = min(1.0, SAMPLE / max(1, documents.count()))
         sample = texts.filter(F.xxhash64("doc_id") / 2.0**64 + 0.5 < share)
-        rows = sample.mapInArrow(parse, "symbol bigint, key bigint, run bigint, doc_id bigint, first bigint")
+        rows = sample.mapInArrow(parse, "key bigint, run bigint, doc_id bigint, first bigint")
         many = max(2, int(SAMPLE * HOT))
-        seen = rows.groupBy("symbol", "key", "run").agg(F.count_distinct("doc_id").alias("docs"), F.min(F.struct("doc_id", "first")).alias("place"))
-        for level in ("symbol", "key"):
-            seen = seen.withColumn(f"in_{level}", F.sum("docs").over(Window.partitionBy(level)))
-        proven, keyed = F.col("docs") >= many, F.col("in_key") >= many
-        kept = seen.filter(F.col("in_symbol") >= many).select("symbol", F.when(keyed, F.col("key")).alias("key"), F.when(proven, F.col("run")).alias("run"), F.when(proven, F.col("place")).alias("place"))
-        kept = kept.distinct().collect()
-        self.symbols = np.array(sorted({r.symbol for r in kept}), dtype=np.int64).view(np.uint64)
-        self.keys = np.array(sorted({r.key for r in kept if r.key is not None}), dtype=np.int64)
+        seen = rows.groupBy("key", "run").agg(F.count_distinct("doc_id").alias("docs"), F.min(F.struct("doc_id", "first")).alias("place"))
+        seen = seen.withColumn("in_key", F.sum("docs").over(Window.partitionBy("key"))).filter(F.col("in_key") >= many)
+        proven = F.col("docs") >= many
+        kept = seen.select("key", F.when(proven, F.col("run")).alias("run"), F.when(proven, F.col("place")).alias("place")).distinct().collect()
+        self.keys = np.array(sorted({r.key for r in kept}), dtype=np.int64)
         self.proven = {(r.key, r.run): tuple(r.place) for r in kept if r.run is not None}
 
 
@@ -292,7 +284,7 @@ def shared_spans(documents: DataFrame, least: int) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_ones: _Hot = shared.value
         for batch in batches:
-            for _, key, run, doc, first, n in _runs(batch, least, hot_ones.symbols):
+            for key, run, doc, first, n in _runs(batch, least):
                 hot = np.isin(key, hot_ones.keys).astype(np.int64)
                 for k in np.flatnonzero(hot).tolist():
                     if (place := hot_ones.proven.get((int(key[k]), int(run[k])))) is not None:

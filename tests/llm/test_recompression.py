@@ -1,8 +1,6 @@
 import random
 from collections import defaultdict
 
-import numpy as np
-
 from factloom.llm.recompression import coverage, shared_spans
 
 
@@ -69,15 +67,14 @@ def test_equal_windows_belong_to_equal_symbols():
     rng = random.Random(9)
     core = "".join(rng.choice("ab c-.é") for _ in range(400))
     texts = [core, "zz " + core + "q", "x" * 50 + core[100:300] + "y" * 90, "", "short", "x" * 300]
-    for often in (np.zeros(0, dtype=np.uint64), None):
-        _, key, _, number, first, n = window_runs(texts, 60, often)
-        by = {}
-        for s, t, f, k in zip(key.tolist(), number.tolist(), first.tolist(), n.tolist()):
-            for i in range(f, f + k):
-                by.setdefault(texts[t][i : i + 60], []).append(s)
-        assert all(len(set(v)) == 1 for v in by.values())
-        where = [t[i : i + 60] for t in texts for i in range(len(t) - 59)]
-        assert {w: len(v) for w, v in by.items()} == {w: where.count(w) for w in set(where)}
+    key, _, number, first, n = window_runs(texts, 60)
+    by = {}
+    for s, t, f, k in zip(key.tolist(), number.tolist(), first.tolist(), n.tolist()):
+        for i in range(f, f + k):
+            by.setdefault(texts[t][i : i + 60], []).append(s)
+    assert all(len(set(v)) == 1 for v in by.values())
+    where = [t[i : i + 60] for t in texts for i in range(len(t) - 59)]
+    assert {w: len(v) for w, v in by.items()} == {w: where.count(w) for w in set(where)}
 
 
 def test_empty_and_null_ids(spark):
