@@ -1 +1 @@
-"""factloom.functions."""
+"""Column expressions: printed values, periods, names and texts."""

@@ -1,10 +1,9 @@
-"""Corpus comparison: blocks, pairs, the comparability gate for measurements, and its tallies.
+"""Corpus comparison: blocks, pairs, the comparability gate, and its tallies.
 
-Claims need ``claim_id, document, entity, metric, dimension, currency, canonical, precision,
-period_start, period_end, axes MAP, unknown ARRAY``.  A null entity or metric is never compared.
-Blocks of more than 400 claims are declined, not cut (SURVEY J-02); ``oversized`` reports them.
-The branches are G-03, G-04, G-06 to G-09 and G-11 of SURVEY section 2; state claims (G-05, G-10), masks and
-the second look are not built.
+Claims need ``claim_id, document, claim_type, entity, metric, dimension, currency, canonical, precision,
+text ARRAY, single, period_start, period_end, valid_from, valid_to, axes MAP, unknown ARRAY`` (``plans.claims``).  A null
+entity or metric is never compared.  ``pairs`` lists the pairs of blocks of up to 400 claims, as an
+interactive comparison would; ``tallies`` counts the pairs of all blocks, whatever their size.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import periods, values
 from factloom.sources.tables import table
 
 MAX_BLOCK = 400
@@ -47,6 +47,11 @@ def fixture_measurements(spark: SparkSession, folder: str) -> DataFrame:
         "r.document",
         "entity",
         F.lit("revenue").alias("metric"),
+        F.lit("measurement").alias("claim_type"),
+        F.array().cast("array<string>").alias("text"),
+        F.lit(True).alias("single"),
+        F.lit(None).cast("date").alias("valid_from"),
+        F.lit(None).cast("date").alias("valid_to"),
         F.lit("currency").alias("dimension"),
         F.lit("INR").alias("currency"),
         (F.col("r.value") * F.col("r.scale")).alias("canonical"),
@@ -69,51 +74,182 @@ def oversized(claims: DataFrame) -> DataFrame:
 
 def _primary(axes: Column) -> Column:
     place = F.create_map(*[x for i, a in enumerate(PRIORITY) for x in (F.lit(a), F.lit(i))])
-    return F.element_at(F.array_sort(F.transform(axes, lambda a: F.struct(F.coalesce(F.try_element_at(place, a), F.lit(len(PRIORITY))).alias("p"), a.alias("a")))), 1)["a"]
+    return F.try_element_at(F.array_sort(F.transform(axes, lambda a: F.struct(F.coalesce(F.try_element_at(place, a), F.lit(len(PRIORITY))).alias("p"), a.alias("a")))), F.lit(1))["a"]
 
 
-def pairs(claims: DataFrame) -> DataFrame:
-    """(claim_a, claim_b, verdict, axis, values_differ, cross_document) of every pair in a block."""
-    kept = claims.join(_sizes(claims).filter(F.col("claims").between(2, MAX_BLOCK)).select(*KEY), KEY, "left_semi")
-    both = kept.alias("a").join(kept.alias("b"), KEY).filter("a.claim_id < b.claim_id")
+def judged(both: DataFrame, mask: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``gate``, a STRUCT(verdict, axis), to rows of two claims aliased a and b: the first branch that applies.
+
+    Masked axes count as if neither side stated or missed them.  Where everything up to the values is
+    the same the verdict is VALUE: it depends on whether the values agree.
+    """
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    missing = F.array_union(F.array_intersect(a("unknown"), F.map_keys(b("axes"))), F.array_intersect(b("unknown"), F.map_keys(a("axes"))))
-    differing = F.map_keys(F.map_filter(F.map_zip_with(a("axes"), b("axes"), lambda k, x, y: ~x.eqNullSafe(y)), lambda k, v: v))
-    gap = F.abs(a("canonical") - b("canonical"))
-    stated = a("precision").isNotNull() | b("precision").isNotNull()
-    near = F.when(stated, gap < (F.coalesce(a("precision"), F.lit(0.0)) + F.coalesce(b("precision"), F.lit(0.0))) / 2 * (1 - 1e-9)).otherwise(gap == 0)
-    unknown_unit = a("dimension").isNull() | b("dimension").isNull() | ((a("dimension") == "currency") & (b("dimension") == "currency") & (a("currency").isNull() | b("currency").isNull()))
-    other_dimension = a("dimension") != b("dimension")
-    other_currency = (a("dimension") == "currency") & (a("currency") != b("currency"))
-    unplaced = F.lit(False)
-    for c in ("period_start", "period_end"):
-        unplaced = unplaced | a(c).isNull() | b(c).isNull()
-    disjoint = (a("period_end") < b("period_start")) | (b("period_end") < a("period_start"))
-    overlapping = (a("period_start") != b("period_start")) | (a("period_end") != b("period_end"))
+    masked = F.array(*[F.lit(m) for m in mask]).cast("array<string>")
+    axes = lambda x: F.map_filter(x("axes"), lambda k, v: ~F.array_contains(masked, k)) if mask else x("axes")
+    unknown = lambda x: F.array_except(x("unknown"), masked) if mask else x("unknown")
+    missing = F.array_union(F.array_intersect(unknown(a), F.map_keys(axes(b))), F.array_intersect(unknown(b), F.map_keys(axes(a))))
+    differing = F.map_keys(F.map_filter(F.map_zip_with(axes(a), axes(b), lambda k, x, y: ~x.eqNullSafe(y)), lambda k, v: v))
+    relation = F.lit("same") if "period" in mask else periods.period_relation(a("period_start"), a("period_end"), b("period_start"), b("period_end"))
+    state = a("claim_type") == "state"
+    dated = lambda x: x("valid_from").isNotNull() | x("valid_to").isNotNull()
+    ends = lambda x: F.coalesce(x("valid_to"), F.lit("9999-12-31").cast("date"))
+    starts = lambda x: F.coalesce(x("valid_from"), F.lit("0001-01-01").cast("date"))
+    apart = dated(a) & dated(b) & ((starts(a) >= ends(b)) | (starts(b) >= ends(a)))
+    both = both.withColumns(
+        {
+            "g_missing": _primary(missing),
+            "g_differing": _primary(differing),
+            "g_relation": relation,
+            "g_apart": F.when(state, apart),
+            "g_text": F.when(state, F.coalesce(values.relation(values.texts_agree(a("text"), b("text"))), F.lit("unknown"))),
+        }
+    )
 
     def says(verdict: str, axis: Column | str | None) -> Column:
         return F.struct(F.lit(verdict).alias("verdict"), (F.lit(axis).cast("string") if axis is None or isinstance(axis, str) else axis).alias("axis"))
 
-    gate = (
-        F.when(unknown_unit, says("INSUFFICIENT_EVIDENCE", "unit"))
-        .when(other_dimension, says("INCOMPARABLE", "unit"))
-        .when(other_currency, says("INCOMPARABLE", "currency"))
-        .when(F.size(missing) > 0, says("INSUFFICIENT_EVIDENCE", _primary(missing)))
-        .when(unplaced, says("INSUFFICIENT_EVIDENCE", "period"))
-        .when(disjoint, says("CONTEXTUAL_TEMPORAL", "period"))
-        .when(overlapping, says("CONTEXTUAL", "period"))
-        .when(F.size(differing) > 0, says("CONTEXTUAL", _primary(differing)))
-        .when(gap.isNull(), says("INSUFFICIENT_EVIDENCE", "value"))
-        .when(near, says("CORROBORATES", None))
-        .otherwise(says("CONTRADICTS", None))
+    measured = F.lit("unit" not in mask) & (a("claim_type") == "measurement")
+    currency = (a("dimension") == "currency") & (b("dimension") == "currency")
+    unknown_unit = a("dimension").isNull() | b("dimension").isNull() | (currency & (a("currency").isNull() | b("currency").isNull()))
+    relation, text, open_period = F.col("g_relation"), F.col("g_text"), state & (F.col("g_relation") == "unknown")
+    branches = [
+        (~a("entity").eqNullSafe(b("entity")), says("INCOMPARABLE", "entity")),
+        (~a("metric").eqNullSafe(b("metric")), says("INCOMPARABLE", "metric")),
+        (measured & unknown_unit, says("INSUFFICIENT_EVIDENCE", "unit")),
+        (measured & (a("dimension") != b("dimension")), says("INCOMPARABLE", "unit")),
+        (measured & currency & (a("currency") != b("currency")), says("INCOMPARABLE", "currency")),
+        (F.col("g_missing").isNotNull(), says("INSUFFICIENT_EVIDENCE", F.col("g_missing"))),
+        (open_period & F.col("g_apart"), says("CONTEXTUAL_TEMPORAL", "valid_time")),
+        (~open_period & (relation == "unknown"), says("INSUFFICIENT_EVIDENCE", "period")),
+        (relation == "disjoint", says("CONTEXTUAL_TEMPORAL", "period")),
+        (relation == "overlapping", says("CONTEXTUAL", "period")),
+        (F.col("g_differing").isNotNull(), says("CONTEXTUAL", F.col("g_differing"))),
+        (state & ~a("single") & (text != "agree"), says("INCOMPARABLE", "cardinality")),
+        (state & (text == "unknown"), says("INSUFFICIENT_EVIDENCE", "value")),
+        (state & (text == "agree"), says("CORROBORATES", None)),
+        (state, says("CONTRADICTS", None)),
+    ]
+    chain = F.when(*branches[0])
+    for when, then in branches[1:]:
+        chain = chain.when(when, then)
+    return both.withColumn("gate", chain.otherwise(says("VALUE", None)))
+
+
+def _settled(verdict: Column, near: Column) -> Column:
+    """A verdict with the values: unknown, agreeing or not."""
+    return F.when(verdict != "VALUE", verdict).when(near.isNull(), "INSUFFICIENT_EVIDENCE").when(near, "CORROBORATES").otherwise("CONTRADICTS")
+
+
+def pairs(claims: DataFrame, mask: tuple[str, ...] = (), most: int = MAX_BLOCK) -> DataFrame:
+    """(claim_a, claim_b, metric, verdict, axis, values_differ, relative, cross_document) of every pair in a block of at most ``most`` claims."""
+    kept = claims.join(_sizes(claims).filter(F.col("claims").between(2, most)).select(*KEY), KEY, "left_semi")
+    both = kept.withColumn("block_entity", F.col("entity")).withColumn("block_metric", F.col("metric"))
+    block = ["block_entity", "block_metric"]
+    joined = judged(both.alias("a").join(both.alias("b"), block).filter("a.claim_id < b.claim_id"), mask)
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    near = values.agree(a("canonical"), b("canonical"), a("precision"), b("precision"))
+    return (
+        joined.select(
+            a("claim_id").alias("claim_a"), b("claim_id").alias("claim_b"), a("metric").alias("metric"), "gate", near.alias("near"), values.relative(a("canonical"), b("canonical")).alias("relative"), (~a("document").eqNullSafe(b("document"))).alias("cross_document")
+        )
+        .select(
+            "claim_a",
+            "claim_b",
+            "metric",
+            _settled(F.col("gate.verdict"), F.col("near")).alias("verdict"),
+            F.when((F.col("gate.verdict") == "VALUE") & F.col("near").isNull(), "value").otherwise(F.col("gate.axis")).alias("axis"),
+            F.coalesce(~F.col("near"), F.lit(False)).alias("values_differ"),
+            "relative",
+            "cross_document",
+        )
+    )
+
+
+# ---- whole blocks, whatever their size: classes of claims in place of claims ----
+
+_CONTEXT = ["claim_type", "dimension", "currency", "axes", "unknown", "period_start", "period_end", "valid_from", "valid_to", "text", "single"]
+
+
+def _classes(claims: DataFrame) -> DataFrame:
+    """Claims with a class: the same block and the same context, which is all that the gate looks at before values."""
+    entries = F.array_join(F.array_sort(F.transform(F.map_entries("axes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\u0001")
+    marks = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in _CONTEXT if c not in ("axes", "unknown", "text")]
+    key = F.sha2(F.concat_ws("\u0002", *marks, entries, *[F.array_join(c, "\u0001") for c in ("unknown", "text")]), 256)
+    return claims.dropna(subset=KEY).withColumn("class", key)
+
+
+def _agreeing(claims: DataFrame) -> DataFrame:
+    """(entity, metric, class_a, class_b, agreeing) pairs of claims whose values can be one, class_a <= class_b.
+
+    Values agree only if they are less than the coarser precision apart.  So a value meets the values
+    of each coarser or equal step of its block in cells as wide as that step, in its own cell and the
+    two beside it; values of equal class, number and precision are one row with their count.
+    """
+    rows = claims.filter("canonical IS NOT NULL").groupBy(*KEY, "class", "canonical", "precision").agg(F.count(F.lit(1)).alias("n"))
+    step = F.when(F.coalesce("precision", F.lit(0.0)) > 0, F.ceil(F.log10("precision") - 1e-9)).otherwise(-30).cast("int")
+    rows = rows.withColumn("step", step).withColumn("row", F.struct("class", "canonical", "precision"))
+    steps = rows.select(*KEY, F.col("step").alias("at")).distinct()
+    width = F.pow(F.lit(10.0), F.col("at"))
+    fine = rows.join(steps, KEY).filter("at >= step").withColumn("cell", F.floor(F.col("canonical") / width))
+    fine = fine.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
+    coarse = rows.withColumn("at", F.col("step")).withColumn("cell", F.floor(F.col("canonical") / F.pow(F.lit(10.0), F.col("step"))))
+    met = fine.alias("f").join(coarse.alias("c"), [*KEY, "at", "cell"])
+    # rows of one step meet from both sides; one of the two counts
+    once = (F.col("f.step") < F.col("c.step")) | (F.col("f.row") <= F.col("c.row"))
+    near = values.agree(F.col("f.canonical"), F.col("c.canonical"), F.col("f.precision"), F.col("c.precision"))
+    itself = F.col("f.row").eqNullSafe(F.col("c.row"))
+    n = F.when(itself, F.expr("f.n * (f.n - 1) div 2")).otherwise(F.col("f.n") * F.col("c.n"))
+    found = met.filter(once & near).select(*KEY, F.least("f.class", "c.class").alias("class_a"), F.greatest("f.class", "c.class").alias("class_b"), n.alias("n"))
+    return found.groupBy(*KEY, "class_a", "class_b").agg(F.sum("n").alias("agreeing"))
+
+
+def tallies(claims: DataFrame, mask: tuple[str, ...] = ()) -> DataFrame:
+    """(verdict, axis, pairs, differing): how many pairs of all blocks get each verdict, and with values that differ.
+
+    No block is declined and no pair of claims is formed: claims of a block with the same context are
+    a class, the gate judges pairs of classes, and their pairs are counted.  Only agreeing values are
+    looked up, by cells as wide as their precision.
+    """
+    rows = _classes(claims)
+    classes = rows.groupBy(*KEY, "class").agg(*[F.first(c).alias(c) for c in _CONTEXT], F.count(F.lit(1)).alias("n"), F.count("canonical").alias("valued"))
+    sides = classes.withColumn("block_entity", F.col("entity")).withColumn("block_metric", F.col("metric"))
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    both = sides.alias("a").join(sides.alias("b"), ["block_entity", "block_metric"]).filter("a.class <= b.class")
+    same = a("class") == b("class")
+    count = lambda c: F.when(same, F.expr(f"a.{c} * (a.{c} - 1) div 2")).otherwise(a(c) * b(c))
+    rated = judged(both, mask).select(
+        F.col("block_entity").alias("entity"), F.col("block_metric").alias("metric"), a("class").alias("class_a"), b("class").alias("class_b"), "gate", count("n").alias("n"), count("valued").alias("valued")
+    ).filter("n > 0")
+    rated = rated.join(_agreeing(rows), [*KEY, "class_a", "class_b"], "left").withColumn("agreeing", F.coalesce("agreeing", F.lit(0)))
+    differing = F.col("valued") - F.col("agreeing")
+
+    def part(verdict: Column | str, axis: Column | str | None, n: Column, differ: Column) -> Column:
+        lit = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+        return F.struct(lit(verdict).alias("verdict"), lit(axis).alias("axis"), n.cast("bigint").alias("pairs"), differ.cast("bigint").alias("differing"))
+
+    zero = F.lit(0)
+    parts = F.when(
+        F.col("gate.verdict") == "VALUE",
+        F.array(part("CORROBORATES", None, F.col("agreeing"), zero), part("CONTRADICTS", None, differing, differing), part("INSUFFICIENT_EVIDENCE", "value", F.col("n") - F.col("valued"), zero)),
+    ).otherwise(F.array(part(F.col("gate.verdict"), F.col("gate.axis"), F.col("n"), differing)))
+    out = rated.select(F.explode(parts).alias("p")).select("p.*").filter("pairs > 0")
+    return out.groupBy("verdict", "axis").agg(F.sum("pairs").alias("pairs"), F.sum("differing").alias("differing"))
+
+
+def corpus_reduction(claims: DataFrame) -> DataFrame:
+    """One row for all claims: how many apparent disagreements a named axis explains."""
+    verdict = F.col("verdict")
+    some = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    open_ones = verdict.isin("CONTRADICTS", "INSUFFICIENT_EVIDENCE")
+    one = tallies(claims).agg(
+        F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"),
+        F.coalesce(F.sum("differing"), F.lit(0)).alias("raw_disagreements"),
+        some("differing", ~open_ones).alias("explained"),
+        some("differing", verdict == "INSUFFICIENT_EVIDENCE").alias("blocked"),
+        some("differing", verdict == "CONTRADICTS").alias("unresolved"),
     )
-    return both.select(
-        a("claim_id").alias("claim_a"),
-        b("claim_id").alias("claim_b"),
-        gate.alias("gate"),
-        F.coalesce(~near, F.lit(False)).alias("values_differ"),
-        (~a("document").eqNullSafe(b("document"))).alias("cross_document"),
-    ).select("claim_a", "claim_b", "gate.verdict", "gate.axis", "values_differ", "cross_document")
+    share = F.when(F.col("raw_disagreements") > 0, F.round(F.col("explained") / F.col("raw_disagreements"), 6)).otherwise(0.0)
+    return one.withColumn("reduction", share)
 
 
 def reduction(compared: DataFrame) -> DataFrame:
