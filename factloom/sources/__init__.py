@@ -1 +1 @@
-"""Sources: parquet tables, read without any check of their schema."""
+"""Sources and sinks: parquet tables with a check of their schema, append, replace by key, JSON documents, snapshots."""
