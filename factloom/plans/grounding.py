@@ -50,7 +50,7 @@ def dehyphenated(text: Column) -> Column:
 
 
 def _cells(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(text, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
 
 
 def _row_subset(quote: Column, page: Column) -> Column:
