@@ -69,3 +69,26 @@ def cardinality(predicate: Column) -> Column:
     word = F.element_at(F.split(F.trim(head), r"\s+"), -1)
     plural = (F.length(word) > 3) & word.endswith("s") & ~word.rlike("(ss|us|is)$")
     return F.when(text.rlike(SINGULAR_ATTRIBUTES) | text.rlike(SINGULAR_ROLES), 1).when(text.rlike(PLURAL_ROLES) | plural, 0).otherwise(1)
+
+
+def local_terms(a: Column, b: Column, stop: list[str], keep: int = 12) -> Column:
+    """ARRAY<STRUCT(word, score)> of the words near one of two places and not the other.
+
+    A word scores more the less else is near its place only, measured by what both share; the first
+    place's words come first among equals, then the alphabet decides.
+    """
+    x, y = terms(a, stop), terms(b, stop)
+    shared = F.greatest(F.size(F.array_intersect(x, y)), F.lit(1))
+
+    def only(mine: Column, other: Column, side: int) -> Column:
+        words = F.array_except(mine, other)
+        score = 1.0 / (1.0 + F.size(words) / shared)
+        return F.transform(words, lambda w: F.struct((-score).alias("order"), F.lit(side).alias("side"), w.alias("word")))
+
+    ranked = F.slice(F.array_sort(F.concat(only(x, y, 0), only(y, x, 1))), 1, keep)
+    return F.transform(ranked, lambda t: F.struct(t["word"].alias("word"), (-t["order"]).alias("score")))
+
+
+def merged_terms(structural: Column, local: Column, keep: int = 12) -> Column:
+    """Words of both lists, each once, the structural ones first."""
+    return F.slice(F.array_distinct(F.concat(structural, local)), 1, keep)

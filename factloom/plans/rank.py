@@ -64,6 +64,30 @@ def edges(claims: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
+def with_recovered(graph: DataFrame, relations: DataFrame, weights: DataFrame, claims: int, held_out: DataFrame | None = None) -> DataFrame:
+    """The graph with the axes that earlier second looks found, but for held-out relations.
+
+    Relations: (relation_id, claim_a, claim_b, axis, value_a, value_b); held_out: (relation_id).  A side
+    with a value is linked to it and through it to the axis, one without to the axis at less weight.
+    """
+    rows = relations.filter("axis IS NOT NULL")
+    if held_out is not None:
+        rows = rows.join(held_out.select("relation_id").distinct(), "relation_id", "left_anti")
+    sides = rows.select(F.explode(F.array(F.struct(F.col("claim_a").alias("claim"), F.col("value_a").alias("value"), "axis"), F.struct(F.col("claim_b").alias("claim"), F.col("value_b").alias("value"), "axis"))).alias("s")).select("s.*")
+    sides = sides.select(F.concat(F.lit("claim:"), F.col("claim").cast("string")).alias("src"), F.concat(F.lit("axis:"), F.col("axis")).alias("axis"), F.concat(F.lit("qual:"), F.col("axis"), F.lit("="), F.substring(F.nullif("value", F.lit("")), 1, 60)).alias("qual"))
+    sides = sides.join(graph.select("src").distinct(), "src", "left_semi")
+    rare = F.coalesce("weight", F.log(F.lit(float(max(claims, 1)))))
+    to = lambda c: weights.select(F.col("node").alias(c), "weight")
+    valued, bare = sides.filter("qual IS NOT NULL"), sides.filter("qual IS NULL")
+    new = (
+        valued.join(to("qual"), "qual", "left").select("src", F.col("qual").alias("dst"), rare.alias("w"))
+        .unionByName(valued.join(to("axis"), "axis", "left").select(F.col("qual").alias("src"), F.col("axis").alias("dst"), rare.alias("w")))
+        .unionByName(bare.join(to("axis"), "axis", "left").select("src", F.col("axis").alias("dst"), (BASES["axis"] * rare).alias("w")))
+    )
+    both = new.unionByName(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return graph.unionByName(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
+
 def neighbourhood(graph: DataFrame, seeds: DataFrame, radius: int = 4) -> DataFrame:
     """(node, hop) of the nodes within so many links of the seeds."""
     graph = cut(graph.select("src", "dst"))

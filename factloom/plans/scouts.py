@@ -74,3 +74,16 @@ def reconsidered(verdict: Column, value_a: Column, value_b: Column, confidence:
 def with_axes(axes: Column, learned: Column) -> Column:
     """What is learned of a claim's context, without changing what it states."""
     return F.map_concat(F.map_filter(learned, lambda k, v: ~F.map_contains_key(axes, k)), axes)
+
+
+def reapplied(verdict: Column, value_a: Column, value_b: Column, confidence: Column, raw_a: Column, raw_b: Column, unit_a: Column, unit_b: Column) -> Column:
+    """What a remembered explanation makes of a contradiction today.
+
+    What was verified against the pages stays; whether a label is circular is judged again, and an
+    explanation without labels or with too little confidence leaves the verdict.
+    """
+    circular = is_circular(F.coalesce(value_a, F.lit("")), raw_a, unit_a) | is_circular(F.coalesce(value_b, F.lit("")), raw_b, unit_b)
+    says = F.coalesce(F.nullif(value_a, F.lit("")), F.nullif(value_b, F.lit(""))).isNotNull()
+    differ = ~F.coalesce(value_a, F.lit("")).eqNullSafe(F.coalesce(value_b, F.lit("")))
+    holds = (verdict == "CONTRADICTS") & (F.coalesce(confidence, F.lit(0.0)) >= LEAST_CONFIDENCE) & says & differ & ~circular
+    return F.when(holds, "CONTEXTUAL").otherwise(verdict)

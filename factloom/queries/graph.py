@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import texts
 from factloom.operators import similarity
 from factloom.plans import ask, rank
 from factloom.queries import Registry
@@ -125,6 +126,22 @@ def ask_axes(claims: DataFrame) -> DataFrame:
     return ask.distinguishing(claims)
 
 
+@query(
+    rf"""WITH p AS (SELECT document_id, page_no, min_by(text, id) AS text FROM filing_pages WHERE page_no IN (0, 1) GROUP BY 1, 2),
+        w AS (SELECT document_id, page_no, list_filter(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '([A-Za-z][A-Za-z''\-]{{2,}})', 1), lambda w: lower(w))), lambda w: NOT list_contains({_NOISE}, w)) AS words FROM p),
+        ab AS (SELECT a.document_id, greatest(len(list_intersect(a.words, b.words)), 1) AS shared, list_filter(a.words, lambda x: NOT list_contains(b.words, x)) AS oa, list_filter(b.words, lambda x: NOT list_contains(a.words, x)) AS ob
+            FROM w a JOIN w b ON a.document_id = b.document_id AND a.page_no = 0 AND b.page_no = 1),
+        s AS (SELECT document_id, unnest(oa) AS word, 1.0::DOUBLE / (1 + len(oa)::DOUBLE / shared) AS score, 0 AS side FROM ab UNION ALL SELECT document_id, unnest(ob), 1.0::DOUBLE / (1 + len(ob)::DOUBLE / shared), 1 FROM ab)
+        SELECT document_id, word, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, side, word) AS r FROM s) WHERE r <= 12""",
+    "filing_pages",
+)
+def local_terms(pages: DataFrame) -> DataFrame:
+    """The words that tell a document's first page from its second; twelve are kept, as for a shortlist."""
+    one = pages.filter("page_no IN (0, 1)").groupBy("document_id").pivot("page_no", [0, 1]).agg(F.min_by("text", "id").alias("t"), F.count(F.lit(1)).alias("n"))
+    both = one.filter("`0_n` > 0 AND `1_n` > 0").select("document_id", F.explode(texts.local_terms(F.col("0_t"), F.col("1_t"), rank.NOISE)).alias("x"))
+    return both.select("document_id", "x.word", F.round("x.score", 6).alias("score"))
+
+
 QUESTIONS = ["What were the net sales of Veltraneth Logistics Limited in FY2020?", "Who is the company secretary of Osmarrow Grain Terminals?", "interest cover of Thavennic Solar Power", "something else altogether"]
 
 

@@ -168,3 +168,19 @@ def test_similarity_in_blocks(spark, monkeypatch):
         got = similarity.top_k(rows, rows.filter("vec_id <= 2"), k=2)
         assert sorted((r.query, r["rank"], r.other) for r in got.collect()) == expected
     assert similarity.top_k(rows.limit(0), rows.limit(0)).count() == 0
+
+
+def test_remembered_explanations_are_judged_again(spark):
+    rows = [("CONTRADICTS", "gross", "net", 0.7, "CONTEXTUAL"), ("CONTRADICTS", "about 5", "net", 0.9, "CONTRADICTS"), ("CONTRADICTS", None, "", 0.9, "CONTRADICTS"), ("CONTRADICTS", "gross", "gross", 0.9, "CONTRADICTS"), ("CONTRADICTS", "gross", None, 0.5, "CONTRADICTS"), ("CONTEXTUAL", "a", "b", 0.9, "CONTEXTUAL")]
+    df = spark.createDataFrame(rows, "v string, a string, b string, c double, expected string")
+    lit = F.lit
+    got = df.select(scouts.reapplied(F.col("v"), F.col("a"), F.col("b"), F.col("c"), lit("5"), lit("6"), lit("INR"), lit("INR")).alias("x"), "expected").collect()
+    assert all(r.x == r.expected for r in got)
+
+
+def test_recovered_axes_enter_the_graph_unless_held_out(spark):
+    graph = spark.createDataFrame([("claim:1", "doc:1", 1.0), ("doc:1", "claim:1", 1.0), ("claim:2", "doc:1", 1.0), ("doc:1", "claim:2", 1.0)], "src string, dst string, w double")
+    relations = spark.createDataFrame([(7, 1, 2, "basis", "gross", None), (8, 1, 9, "basis", "net", "x")], "relation_id int, claim_a int, claim_b int, axis string, value_a string, value_b string")
+    weights = spark.createDataFrame([("axis:basis", 2.0)], "node string, weight double")
+    new = {(r.src, r.dst) for r in rank.with_recovered(graph, relations, weights, 10, spark.createDataFrame([(8,)], "relation_id int")).collect()} - {(r.src, r.dst) for r in graph.collect()}
+    assert new == {("claim:1", "qual:basis=gross"), ("qual:basis=gross", "axis:basis"), ("claim:2", "axis:basis")} | {("qual:basis=gross", "claim:1"), ("axis:basis", "qual:basis=gross"), ("axis:basis", "claim:2")}
