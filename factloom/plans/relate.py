@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import periods, values
+from factloom.session import cut
 from factloom.sources.tables import table
 
 MAX_BLOCK = 400
@@ -77,33 +78,22 @@ def _primary(axes: Column) -> Column:
     return F.try_element_at(F.array_sort(F.transform(axes, lambda a: F.struct(F.coalesce(F.try_element_at(place, a), F.lit(len(PRIORITY))).alias("p"), a.alias("a")))), F.lit(1))["a"]
 
 
-def judged(both: DataFrame, mask: tuple[str, ...] = ()) -> DataFrame:
+def judged(both: DataFrame, mask: tuple[str, ...] = (), units_and_missing_only: bool = False) -> DataFrame:
     """Adds ``gate``, a STRUCT(verdict, axis), to rows of two claims aliased a and b: the first branch that applies.
 
     Masked axes count as if neither side stated or missed them.  Where everything up to the values is
-    the same the verdict is VALUE: it depends on whether the values agree.
+    the same the verdict is VALUE: it depends on whether the values agree.  Of the first branches alone
+    it is OPEN where none applies.
     """
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     masked = F.array(*[F.lit(m) for m in mask]).cast("array<string>")
     axes = lambda x: F.map_filter(x("axes"), lambda k, v: ~F.array_contains(masked, k)) if mask else x("axes")
     unknown = lambda x: F.array_except(x("unknown"), masked) if mask else x("unknown")
     missing = F.array_union(F.array_intersect(unknown(a), F.map_keys(axes(b))), F.array_intersect(unknown(b), F.map_keys(axes(a))))
-    differing = F.map_keys(F.map_filter(F.map_zip_with(axes(a), axes(b), lambda k, x, y: ~x.eqNullSafe(y)), lambda k, v: v))
-    relation = F.lit("same") if "period" in mask else periods.period_relation(a("period_start"), a("period_end"), b("period_start"), b("period_end"))
+    both = both.withColumn("g_missing", _primary(missing))
     state = a("claim_type") == "state"
-    dated = lambda x: x("valid_from").isNotNull() | x("valid_to").isNotNull()
-    ends = lambda x: F.coalesce(x("valid_to"), F.lit("9999-12-31").cast("date"))
-    starts = lambda x: F.coalesce(x("valid_from"), F.lit("0001-01-01").cast("date"))
-    apart = dated(a) & dated(b) & ((starts(a) >= ends(b)) | (starts(b) >= ends(a)))
-    both = both.withColumns(
-        {
-            "g_missing": _primary(missing),
-            "g_differing": _primary(differing),
-            "g_relation": relation,
-            "g_apart": F.when(state, apart),
-            "g_text": F.when(state, F.coalesce(values.relation(values.texts_agree(a("text"), b("text"))), F.lit("unknown"))),
-        }
-    )
+    if not units_and_missing_only:
+        both = _with_context(both, mask, axes)
 
     def says(verdict: str, axis: Column | str | None) -> Column:
         return F.struct(F.lit(verdict).alias("verdict"), (F.lit(axis).cast("string") if axis is None or isinstance(axis, str) else axis).alias("axis"))
@@ -111,7 +101,8 @@ def judged(both: DataFrame, mask: tuple[str, ...] = ()) -> DataFrame:
     measured = F.lit("unit" not in mask) & (a("claim_type") == "measurement")
     currency = (a("dimension") == "currency") & (b("dimension") == "currency")
     unknown_unit = a("dimension").isNull() | b("dimension").isNull() | (currency & (a("currency").isNull() | b("currency").isNull()))
-    relation, text, open_period = F.col("g_relation"), F.col("g_text"), state & (F.col("g_relation") == "unknown")
+    relation, text = F.col("g_relation"), F.col("g_text")
+    open_period = state & (relation == "unknown")
     branches = [
         (~a("entity").eqNullSafe(b("entity")), says("INCOMPARABLE", "entity")),
         (~a("metric").eqNullSafe(b("metric")), says("INCOMPARABLE", "metric")),
@@ -129,10 +120,27 @@ def judged(both: DataFrame, mask: tuple[str, ...] = ()) -> DataFrame:
         (state & (text == "agree"), says("CORROBORATES", None)),
         (state, says("CONTRADICTS", None)),
     ]
+    branches = branches[:6] if units_and_missing_only else branches
     chain = F.when(*branches[0])
     for when, then in branches[1:]:
         chain = chain.when(when, then)
-    return both.withColumn("gate", chain.otherwise(says("VALUE", None)))
+    return both.withColumn("gate", chain.otherwise(says("OPEN" if units_and_missing_only else "VALUE", None)))
+
+
+def _with_context(both: DataFrame, mask: tuple[str, ...], axes) -> DataFrame:
+    """Columns that the later branches look at: the differing axis, the periods' relation, states' dates and texts."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    differing = F.map_keys(F.map_filter(F.map_zip_with(axes(a), axes(b), lambda k, x, y: ~x.eqNullSafe(y)), lambda k, v: v))
+    relation = F.lit("same") if "period" in mask else periods.period_relation(a("period_start"), a("period_end"), b("period_start"), b("period_end"))
+    state = a("claim_type") == "state"
+    dated = lambda x: x("valid_from").isNotNull() | x("valid_to").isNotNull()
+    ends = lambda x: F.coalesce(x("valid_to"), F.lit("9999-12-31").cast("date"))
+    starts = lambda x: F.coalesce(x("valid_from"), F.lit("0001-01-01").cast("date"))
+    apart = dated(a) & dated(b) & ((starts(a) >= ends(b)) | (starts(b) >= ends(a)))
+    same_text = values.relation(values.texts_agree(a("text"), b("text")))
+    return both.withColumns(
+        {"g_differing": _primary(differing), "g_relation": relation, "g_apart": F.when(state, apart), "g_text": F.when(state, F.coalesce(same_text, F.lit("unknown")))}
+    )
 
 
 def _settled(verdict: Column, near: Column) -> Column:
@@ -167,15 +175,17 @@ def pairs(claims: DataFrame, mask: tuple[str, ...] = (), most: int = MAX_BLOCK)
 
 # ---- whole blocks, whatever their size: classes of claims in place of claims ----
 
-_CONTEXT = ["claim_type", "dimension", "currency", "axes", "unknown", "period_start", "period_end", "valid_from", "valid_to", "text", "single"]
+_COARSE = ["claim_type", "dimension", "currency", "axes", "unknown"]
+_CONTEXT = [*_COARSE, "period_start", "period_end", "valid_from", "valid_to", "text", "single"]
 
 
 def _classes(claims: DataFrame) -> DataFrame:
-    """Claims with a class: the same block and the same context, which is all that the gate looks at before values."""
+    """Claims with their class, the same block and context, which is all that the gate looks at before values, and a coarse one without dates and texts."""
     entries = F.array_join(F.array_sort(F.transform(F.map_entries("axes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\u0001")
-    marks = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in _CONTEXT if c not in ("axes", "unknown", "text")]
-    key = F.sha2(F.concat_ws("\u0002", *marks, entries, *[F.array_join(c, "\u0001") for c in ("unknown", "text")]), 256)
-    return claims.dropna(subset=KEY).withColumn("class", key)
+    marks = lambda names: [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in names]
+    coarse = F.sha2(F.concat_ws("\u0002", *marks(["claim_type", "dimension", "currency"]), entries, F.array_join("unknown", "\u0001")), 256)
+    fine = F.sha2(F.concat_ws("\u0002", "coarse", *marks(["period_start", "period_end", "valid_from", "valid_to", "single"]), F.array_join("text", "\u0001")), 256)
+    return claims.dropna(subset=KEY).withColumn("coarse", coarse).withColumn("class", F.concat("coarse", fine))
 
 
 def _agreeing(claims: DataFrame) -> DataFrame:
@@ -207,20 +217,36 @@ def tallies(claims: DataFrame, mask: tuple[str, ...] = ()) -> DataFrame:
     """(verdict, axis, pairs, differing): how many pairs of all blocks get each verdict, and with values that differ.
 
     No block is declined and no pair of claims is formed: claims of a block with the same context are
-    a class, the gate judges pairs of classes, and their pairs are counted.  Only agreeing values are
-    looked up, by cells as wide as their precision.
+    a class, the gate judges pairs of classes, and their pairs are counted.  Most pairs are settled
+    by units and missing axes alone, so those are judged first, on classes without dates and texts;
+    only the others are looked at in full.  Agreeing values are looked up by cells as wide as their
+    precision.
     """
-    rows = _classes(claims)
-    classes = rows.groupBy(*KEY, "class").agg(*[F.first(c).alias(c) for c in _CONTEXT], F.count(F.lit(1)).alias("n"), F.count("canonical").alias("valued"))
-    sides = classes.withColumn("block_entity", F.col("entity")).withColumn("block_metric", F.col("metric"))
+    rows = cut(_classes(claims))  # read by every step below
+    block = ["block_entity", "block_metric"]
+    counts = [F.count(F.lit(1)).alias("n"), F.count("canonical").alias("valued")]
+    fine = rows.groupBy(*KEY, "coarse", "class").agg(*[F.first(c).alias(c) for c in _CONTEXT], *counts)
+    fine = cut(fine.withColumn("block_entity", F.col("entity")).withColumn("block_metric", F.col("metric")))
+    coarse = fine.groupBy(*block, *KEY, "coarse").agg(*[F.first(c).alias(c) for c in _COARSE], F.sum("n").alias("n"), F.sum("valued").alias("valued"))
+    agreeing = _agreeing(rows)
+    coarsely = agreeing.groupBy(*KEY, F.substring("class_a", 1, 64).alias("class_a"), F.substring("class_b", 1, 64).alias("class_b")).agg(F.sum("agreeing").alias("agreeing"))
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    both = sides.alias("a").join(sides.alias("b"), ["block_entity", "block_metric"]).filter("a.class <= b.class")
-    same = a("class") == b("class")
-    count = lambda c: F.when(same, F.expr(f"a.{c} * (a.{c} - 1) div 2")).otherwise(a(c) * b(c))
-    rated = judged(both, mask).select(
-        F.col("block_entity").alias("entity"), F.col("block_metric").alias("metric"), a("class").alias("class_a"), b("class").alias("class_b"), "gate", count("n").alias("n"), count("valued").alias("valued")
-    ).filter("n > 0")
-    rated = rated.join(_agreeing(rows), [*KEY, "class_a", "class_b"], "left").withColumn("agreeing", F.coalesce("agreeing", F.lit(0)))
+
+    def counted(both: DataFrame, name: str, agree: DataFrame) -> DataFrame:
+        """Pairs of claims of two classes, and those whose values can be compared and agree."""
+        same = a(name) == b(name)
+        count = lambda c: F.when(same, F.expr(f"a.{c} * (a.{c} - 1) div 2")).otherwise(a(c) * b(c))
+        out = both.select(
+            F.col("block_entity").alias("entity"), F.col("block_metric").alias("metric"), F.least(a(name), b(name)).alias("class_a"), F.greatest(a(name), b(name)).alias("class_b"), "gate", count("n").alias("n"), count("valued").alias("valued")
+        )
+        return out.filter("n > 0").join(agree, [*KEY, "class_a", "class_b"], "left").withColumn("agreeing", F.coalesce("agreeing", F.lit(0)))
+
+    first = judged(coarse.alias("a").join(coarse.alias("b"), block).filter("a.coarse <= b.coarse"), mask, units_and_missing_only=True)
+    open_pairs = first.filter("gate.verdict = 'OPEN'").select(*block, a("coarse").alias("coarse_a"), b("coarse").alias("coarse_b"))
+    left = fine.join(open_pairs.withColumnRenamed("coarse_a", "coarse"), [*block, "coarse"])
+    right = fine.withColumn("coarse_b", F.col("coarse"))
+    both = left.alias("a").join(right.alias("b"), [*block, "coarse_b"]).filter("a.coarse <> b.coarse OR a.class <= b.class")
+    rated = counted(first.filter("gate.verdict <> 'OPEN'"), "coarse", coarsely).unionByName(counted(judged(both, mask), "class", agreeing))
     differing = F.col("valued") - F.col("agreeing")
 
     def part(verdict: Column | str, axis: Column | str | None, n: Column, differ: Column) -> Column:
