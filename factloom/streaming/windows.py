@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _marked(events: DataFrame, late: str) -> DataFrame:
-    return events.withWatermark("ts", late) if events.isStreaming else events
+    # a watermark needs instants; times without a zone are the session's
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
 
 
 def tumbling(events: DataFrame, length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
