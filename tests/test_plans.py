@@ -65,6 +65,18 @@ def test_tallies_equal_the_pairs_one_by_one(spark):
     assert relate.tallies(rows.limit(0)).count() == 0 and relate.corpus_reduction(rows.limit(0)).first().pairs == 0
 
 
+def test_values_far_beyond_their_precision_are_tallied(spark):
+    """A misread precision of 10^-11, none at all, and more digits than 64 bits hold."""
+    near = 2.0**52
+    values = [("Rs.10152920092", 10152920092.0), ("Rs.10152920092", 10152920092.0), ("nil", 5e3), ("nil", 5e3), ("nil", -5e3), ("nil", 0.0), ("nil", 1e300), ("10152920092", 10152920092.4), ("-3.25", -3.25), ("-3.2", -3.2)]
+    values += [("1", sign * (near + d)) for d in (-2.0, -1.0, -0.5, 0.0, 1.0, 2.0) for sign in (1, -1)] + [("1e0", 2 * near - 1), ("1", 2 * near), ("1", 2 * near + 2), ("1", float("nan")), ("1", float("inf")), ("1", float("inf"))]
+    rows = comparables(claims(spark, *[{"value_raw": raw, "value_num": v, "unit_scale": None} for raw, v in values]))
+    listed = relate.pairs(rows).groupBy("verdict", "axis").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("values_differ").alias("differing"))
+    got = relate.tallies(rows).collect()
+    assert {r.verdict for r in got} == {"CORROBORATES", "CONTRADICTS"}
+    assert sorted(map(str, listed.collect())) == sorted(map(str, got))
+
+
 def test_registers(spark):
     pairs = spark.createDataFrame([(1, "CONTEXTUAL", "segment", True), (2, "CONTEXTUAL", "segment", True), (3, "CONTEXTUAL", "basis", True), (4, "CONTEXTUAL", "period", False), (5, "CORROBORATES", None, False)], "claim_a int, verdict string, axis string, values_differ boolean")
     assert {r.axis: (r.origin, r.status, r.resolves) for r in registry.axes(pairs).collect()} == {"segment": ("discovered", "promoted", 2), "basis": ("discovered", "candidate", 1), "period": ("seed", "active", 0)}
