@@ -170,16 +170,17 @@ def pairs(claims: DataFrame, mask: tuple[str, ...] = (), most: int = MAX_BLOCK)
     )
 
 
-def tallies(claims: DataFrame, mask: tuple[str, ...] = ()) -> DataFrame:
+def tallies(claims: DataFrame, mask: tuple[str, ...] = (), small: int = tally.SMALL) -> DataFrame:
     """(verdict, axis, pairs, differing): how many pairs of all blocks get each verdict, and with values that differ.
 
     No block is declined and no pair is stored: the claims are brought together by block once, and
-    each block is counted as array work where it lies (``plans.tally``).
+    each block is counted as array work where it lies (``plans.tally``), pair by pair up to ``small`` claims.
     """
     context = F.to_json(F.struct("claim_type", "dimension", "currency", "axes", "unknown")).alias("context")
     dates = [F.unix_date(c).alias(c) for c in ("period_start", "period_end", "valid_from", "valid_to")]
-    rows = claims.dropna(subset=KEY).select(*KEY, "claim_id", context, *dates, F.array_join("text", " ").alias("text"), "single", "canonical", "precision")
-    counted = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(lambda batches: tally.of_partition(batches, mask, PRIORITY), tally.SCHEMA)
+    # rows without a key are left out in the arrays: a filter here would compute the keys twice
+    rows = claims.select(*KEY, "claim_id", context, *dates, F.array_join("text", " ").alias("text"), "single", "canonical", "precision")
+    counted = rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(lambda batches: tally.of_partition(batches, mask, PRIORITY, small), tally.SCHEMA)
     return counted.groupBy("verdict", "axis").agg(F.sum("pairs").alias("pairs"), F.sum("differing").alias("differing"))
 
 

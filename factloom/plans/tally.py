@@ -271,10 +271,10 @@ class Blocks:
                     agreed = self._agree(a, b)
                     self._add(self.near, self.gate(a[agreed], b[agreed]))
 
-    def tally(self) -> dict[tuple[str, str | None], list[int]]:
+    def tally(self, small: int) -> dict[tuple[str, str | None], list[int]]:
         sizes = self.ends - self.starts
-        self.small(np.flatnonzero((sizes > 1) & (sizes <= SMALL)))
-        for block in np.flatnonzero(sizes > SMALL).tolist():
+        self.small(np.flatnonzero((sizes > 1) & (sizes <= small)))
+        for block in np.flatnonzero(sizes > small).tolist():
             self.large(block)
         names = [*FIXED, *(("INSUFFICIENT_EVIDENCE", k) for k in self.keys), *(("CONTEXTUAL", k) for k in self.keys)]
         out: dict = defaultdict(lambda: [0, 0])
@@ -294,8 +294,8 @@ class Blocks:
         return {k: v for k, v in out.items() if v[0]}
 
 
-def of_partition(batches: Iterator[pa.RecordBatch], mask: tuple[str, ...], priority: list[str]) -> Iterator[pa.RecordBatch]:
-    """The tally of a partition's rows, which are sorted by block; no more than some blocks are held at once."""
+def of_partition(batches: Iterator[pa.RecordBatch], mask: tuple[str, ...], priority: list[str], small: int = SMALL) -> Iterator[pa.RecordBatch]:
+    """The tally of a partition's rows, which are sorted by block, without those that have no key; no more than some blocks are held at once."""
     total: dict = defaultdict(lambda: [0, 0])
     held: list[pa.RecordBatch] = []
 
@@ -304,12 +304,13 @@ def of_partition(batches: Iterator[pa.RecordBatch], mask: tuple[str, ...], prior
         return np.append(0, np.flatnonzero(changed[0] | changed[1]) + 1)
 
     def count(rows: pa.Table, starts: np.ndarray) -> None:
-        for name, (pairs, differing) in Blocks(rows, starts, mask, priority).tally().items():
+        for name, (pairs, differing) in Blocks(rows, starts, mask, priority).tally(small).items():
             total[name][0] += pairs
             total[name][1] += differing
 
     waiting = 0
     for batch in batches:
+        batch = batch.filter(pc.and_(pc.is_valid(batch.column("entity")), pc.is_valid(batch.column("metric"))))
         if batch.num_rows:
             held.append(batch)
             waiting += batch.num_rows

@@ -77,6 +77,24 @@ def test_values_far_beyond_their_precision_are_tallied(spark):
     assert sorted(map(str, listed.collect())) == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("mask", [("consolidation", "modality")])
+def test_masked_tallies_of_odd_blocks(spark, mask):
+    """Measurements and states in one block, predicates of one key that hold one or many, unheld values; by pairs and by classes."""
+    odd = {"value_raw": "Rs.10152920092", "value_num": 10152920092.0, "unit_scale": None}
+    state = {**STATE, "subject": "Delta Ltd", "predicate": "Net sales", "value_text": "chief financial officer"}
+    many = {"subject": "Rao", "predicate": "Fees:", "claim_type": "state", "value_num": None, "period_start": None}
+    rows = [
+        odd, state, odd, {**state, "value_text": "cfo"}, {**odd, "unit_dimension": None}, {**state, "valid_from": date(2001, 1, 1)}, {**state, "valid_to": date(2001, 1, 1)}, {**odd, "modality": "target"},
+        {**odd, "unit_currency": "USD", "qualifiers": {"consolidation": "standalone", "segment": None}}, {**odd, "unknown_qualifiers": ["consolidation"]}, {**odd, "period_start": date(2020, 1, 1)}, {**odd, "period_end": None},
+        {**many, "value_text": "a"}, {**many, "predicate": "Fees/", "value_text": "b"}, {**many, "predicate": "Fees", "value_text": "a"}, {**many, "predicate": "Fees/"}, {**odd, "subject": None}, {**odd, "predicate": " "},
+    ]
+    rows = comparables(claims(spark, *rows))
+    listed = relate.pairs(rows, mask).groupBy("verdict", "axis").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("values_differ").alias("differing"))
+    expected = sorted(map(str, listed.collect()))
+    for small in (64, 1):
+        assert sorted(map(str, relate.tallies(rows, mask, small).collect())) == expected
+
+
 def test_registers(spark):
     pairs = spark.createDataFrame([(1, "CONTEXTUAL", "segment", True), (2, "CONTEXTUAL", "segment", True), (3, "CONTEXTUAL", "basis", True), (4, "CONTEXTUAL", "period", False), (5, "CORROBORATES", None, False)], "claim_a int, verdict string, axis string, values_differ boolean")
     assert {r.axis: (r.origin, r.status, r.resolves) for r in registry.axes(pairs).collect()} == {"segment": ("discovered", "promoted", 2), "basis": ("discovered", "candidate", 1), "period": ("seed", "active", 0)}
