@@ -77,7 +77,7 @@ def test_values_far_beyond_their_precision_are_tallied(spark):
     assert sorted(map(str, listed.collect())) == sorted(map(str, got))
 
 
-@pytest.mark.parametrize("mask", [("consolidation", "modality"), ("unit",), ()])
+@pytest.mark.parametrize("mask", [("consolidation", "modality"), ("unit",), ("period",), ()])
 def test_masked_tallies_of_odd_blocks(spark, mask):
     """Measurements and states in one block, predicates of one key that hold one or many, unheld values; by pairs and by classes."""
     odd = {"value_raw": "Rs.10152920092", "value_num": 10152920092.0, "unit_scale": None}
