@@ -71,22 +71,33 @@ def cardinality(predicate: Column) -> Column:
     return F.when(text.rlike(SINGULAR_ATTRIBUTES) | text.rlike(SINGULAR_ROLES), 1).when(text.rlike(PLURAL_ROLES) | plural, 0).otherwise(1)
 
 
+def _once(value: Column, use) -> Column:
+    """An expression of a value that is evaluated once, however often the expression names it, also within its lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def local_terms(a: Column, b: Column, stop: list[str], keep: int = 12) -> Column:
     """ARRAY<STRUCT(word, score)> of the words near one of two places and not the other.
 
     A word scores more the less else is near its place only, measured by what both share; the first
     place's words come first among equals, then the alphabet decides.
     """
-    x, y = terms(a, stop), terms(b, stop)
-    shared = F.greatest(F.size(F.array_intersect(x, y)), F.lit(1))
 
-    def only(mine: Column, other: Column, side: int) -> Column:
-        words = F.array_except(mine, other)
-        score = 1.0 / (1.0 + F.size(words) / shared)
-        return F.transform(words, lambda w: F.struct((-score).alias("order"), F.lit(side).alias("side"), w.alias("word")))
+    def apart(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        shared = F.greatest(F.size(F.array_intersect(x, y)), F.lit(1))
+        return F.struct(F.array_sort(F.array_except(x, y)).alias("x"), F.array_sort(F.array_except(y, x)).alias("y"), shared.alias("shared"))
+
+    def ranked(both: Column) -> Column:
+        def scored(words: Column) -> Column:
+            score = 1.0 / (1.0 + F.size(words) / both["shared"])
+            return F.transform(F.slice(words, 1, keep), lambda w: F.struct(w.alias("word"), score.alias("score")))
+
+        # all words of a place score the same
+        x, y = both["x"], both["y"]
+        return F.slice(F.when(F.size(x) <= F.size(y), F.concat(scored(x), scored(y))).otherwise(F.concat(scored(y), scored(x))), 1, keep)
 
-    ranked = F.slice(F.array_sort(F.concat(only(x, y, 0), only(y, x, 1))), 1, keep)
-    return F.transform(ranked, lambda t: F.struct(t["word"].alias("word"), (-t["order"]).alias("score")))
+    return _once(_once(F.struct(terms(a, stop).alias("x"), terms(b, stop).alias("y")), apart), ranked)
 
 
 def merged_terms(structural: Column, local: Column, keep: int = 12) -> Column:

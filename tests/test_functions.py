@@ -84,3 +84,16 @@ def test_cardinality(spark, predicate, n):
 def test_tokens_and_terms(spark):
     assert one(spark, texts.tokens(F.col("t")), t="The Sales, of glass boxes") == ["the", "sale", "glass", "boxe"]
     assert one(spark, texts.terms(F.col("t"), ["the"]), t="The non-current Assets the") == ["non-current", "assets"]
+
+
+def test_local_terms_read_each_text_once(spark):
+    """Every word's score once read both texts again; equal scores leave the first place's words first."""
+    texts_of = lambda *words: " ".join(words)
+    rows = [(texts_of("The", "zeta", "same", "alpha"), texts_of("same", "beta", "gamma")), (texts_of("one", "two", "same", "ten"), texts_of("same", "SAME", "new")), (None, texts_of("word")), (texts_of(*[f"a{chr(97 + i)}x" for i in range(14)]), "")]
+    df = spark.createDataFrame(rows, "a string, b string").select(texts.local_terms(F.col("a"), F.col("b"), ["the"]).alias("t"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
+    got = [[(t.word, round(t.score, 6)) for t in r.t] for r in df.collect()]
+    third = 0.333333
+    assert got[0] == [("alpha", third), ("zeta", third), ("beta", third), ("gamma", third)]
+    assert got[1] == [("new", 0.5), ("one", 0.25), ("ten", 0.25), ("two", 0.25)]
+    assert got[2] == [("word", 0.5)] and [w for w, _ in got[3]] == [f"a{chr(97 + i)}x" for i in range(12)]
