@@ -225,7 +225,9 @@ class Blocks:
         """All pairs of the rows of one block, by classes."""
         rows = np.arange(self.starts[block], self.ends[block])
         states = self.state[self.context[rows]]
-        parts = [self.context[rows], self.period[rows]] + [np.where(states, x[rows], 0) for x in (self.from_, self.to, self.text, self.single)]
+        parts = [self.context[rows], self.period[rows], np.where(states, self.single[rows], 0)]
+        if states.any():  # a state that comes first looks at the dates and text of any later claim
+            parts += [self.from_[rows], self.to[rows], self.text[rows]]
         key = np.zeros(len(rows), np.int64)
         for x in parts:  # renumbered each time, so that no product leaves 64 bits
             x = np.unique(x, return_inverse=True)[1]

@@ -95,6 +95,18 @@ def test_masked_tallies_of_odd_blocks(spark, mask):
         assert sorted(map(str, relate.tallies(rows, mask, small).collect())) == expected
 
 
+@pytest.mark.parametrize("mask", [("unit",), (), ("period",)])
+def test_states_before_other_kinds_are_tallied_by_their_dates_and_texts(spark, mask):
+    """Claims of one context and period, which differ only in dates or texts that a state looks at."""
+    early, late = {"valid_to": date(2001, 1, 1)}, {"valid_from": date(2005, 1, 1)}
+    state = {**STATE, "subject": "Delta Ltd", "predicate": "Net sales", "value_text": "7 mills"}
+    other = {**state, "claim_type": "event"}
+    figure = {"period_start": None, "period_end": None}
+    rows = comparables(claims(spark, {**state, **early}, {**figure, **late}, {**figure, **early}, figure, {**other, **early}, {**other, **early, "value_text": "8 mills"}, {**other, **late}))
+    listed = relate.pairs(rows, mask).groupBy("verdict", "axis").agg(F.count(F.lit(1)).alias("pairs"), F.count_if("values_differ").alias("differing"))
+    assert sorted(map(str, relate.tallies(rows, mask, 1).collect())) == sorted(map(str, listed.collect()))
+
+
 def test_registers(spark):
     pairs = spark.createDataFrame([(1, "CONTEXTUAL", "segment", True), (2, "CONTEXTUAL", "segment", True), (3, "CONTEXTUAL", "basis", True), (4, "CONTEXTUAL", "period", False), (5, "CORROBORATES", None, False)], "claim_a int, verdict string, axis string, values_differ boolean")
     assert {r.axis: (r.origin, r.status, r.resolves) for r in registry.axes(pairs).collect()} == {"segment": ("discovered", "promoted", 2), "basis": ("discovered", "candidate", 1), "period": ("seed", "active", 0)}
