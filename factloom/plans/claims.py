@@ -34,7 +34,7 @@ def comparables(claims: DataFrame) -> DataFrame:
         F.col("unit_currency").alias("currency"),
         F.when(measured, F.col("value_num") * scale).alias("canonical"),
         F.when(measured, values.written_precision(F.col("value_raw"), scale)).alias("precision"),
-        values.text_tokens(F.when(~measured, F.col("value_text"))).alias("text"),
+        values.text_tokens(F.when(measured, "").otherwise(F.col("value_text"))).alias("text"),
         (measured | (texts.cardinality(F.col("predicate")) == 1)).alias("single"),
         "period_start",
         "period_end",

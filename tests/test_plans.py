@@ -107,6 +107,13 @@ def test_states_before_other_kinds_are_tallied_by_their_dates_and_texts(spark, m
     assert sorted(map(str, relate.tallies(rows, mask, 1).collect())) == sorted(map(str, listed.collect()))
 
 
+def test_the_text_of_an_untyped_claim_is_kept(spark):
+    state = {**STATE, "subject": "Delta Ltd", "predicate": "Net sales", "value_text": "7 mills"}
+    rows = comparables(claims(spark, state, {**state, "claim_type": None}, {**state, "claim_type": "measurement"}))
+    assert [r.text for r in rows.orderBy("claim_id").collect()] == [["7", "mills"], ["7", "mills"], []]
+    assert {(r.verdict, r.axis): r.pairs for r in relate.tallies(rows).collect()} == {("CORROBORATES", None): 1, ("INCOMPARABLE", "cardinality"): 1, ("INSUFFICIENT_EVIDENCE", "value"): 1}
+
+
 def test_registers(spark):
     pairs = spark.createDataFrame([(1, "CONTEXTUAL", "segment", True), (2, "CONTEXTUAL", "segment", True), (3, "CONTEXTUAL", "basis", True), (4, "CONTEXTUAL", "period", False), (5, "CORROBORATES", None, False)], "claim_a int, verdict string, axis string, values_differ boolean")
     assert {r.axis: (r.origin, r.status, r.resolves) for r in registry.axes(pairs).collect()} == {"segment": ("discovered", "promoted", 2), "basis": ("discovered", "candidate", 1), "period": ("seed", "active", 0)}
